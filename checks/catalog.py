@@ -495,7 +495,7 @@ def nested_columns(c: Catalog) -> DataFrame:
 
 
 def _bytes(*columns: str) -> str:
-    return " + ".join(f"coalesce(strlen({c}), 0)" for c in columns)
+    return " + ".join(f"coalesce(strlen(\"{c}\"), 0)" for c in columns)
 
 
 SIZES_SQL = sql.dictionary() + f""",

@@ -18,8 +18,15 @@ FOLD_LIMIT = 256
 _ANCHOR = 3
 
 
-def user_schemas(df: DataFrame, dialect: str | Column = F.col("dialect")) -> DataFrame:
-    return df.where(~names.is_system_schema(F.col("schema_name"), dialect))
+def _dialect(dialect: str | Column | None) -> Column:
+    """A given dialect, a given column, or the column `dialect`."""
+    if dialect is None:
+        return F.col("dialect")
+    return F.lit(dialect) if isinstance(dialect, str) else dialect
+
+
+def user_schemas(df: DataFrame, dialect: str | Column | None = None) -> DataFrame:
+    return df.where(~names.is_system_schema(F.col("schema_name"), _dialect(dialect)))
 
 
 def target_schemas(df: DataFrame, targets: Sequence[str] | DataFrame | None) -> DataFrame:
@@ -29,14 +36,13 @@ def target_schemas(df: DataFrame, targets: Sequence[str] | DataFrame | None) ->
     return df.where(F.col("schema_name").isin(*targets)) if targets else df
 
 
-def _like(name: Column, pattern: Column | str, dialect: str | Column) -> Column:
+def _like(name: Column, pattern: Column | str, dialect: str | Column | None) -> Column:
     """LIKE of the server: MySQL compares without case."""
     pattern = F.lit(pattern) if isinstance(pattern, str) else pattern
-    dialect = F.lit(dialect) if isinstance(dialect, str) else dialect
-    return F.when(dialect == "mysql", F.ilike(name, pattern)).otherwise(F.like(name, pattern))
+    return F.when(_dialect(dialect) == "mysql", F.ilike(name, pattern)).otherwise(F.like(name, pattern))
 
 
-def exclude_like(df: DataFrame, patterns: Sequence[str], dialect: str | Column = F.col("dialect")) -> DataFrame:
+def exclude_like(df: DataFrame, patterns: Sequence[str], dialect: str | Column | None = None) -> DataFrame:
     """Drop tables whose name matches any pattern; `%` and `_` are wildcards, `*` is not."""
     hits = [_like(F.col("table_name"), p, dialect) for p in patterns]
     return df.where(~reduce(lambda a, b: a | b, hits)) if hits else df
@@ -116,10 +122,10 @@ def table_constraints(df: DataFrame) -> DataFrame:
     return df.where(F.col("contype").isin("p", "u", "f", "c") & ~repeats_not_null)
 
 
-def split_unsafe(df: DataFrame, dialect: str | Column = F.col("dialect")) -> tuple[DataFrame, DataFrame]:
+def split_unsafe(df: DataFrame, dialect: str | Column | None = None) -> tuple[DataFrame, DataFrame]:
     """(accepted, rejects with `reason`); the schema is checked as well as the table."""
-    bad_schema = names.is_unsafe(F.col("schema_name"), dialect)
-    bad_table = names.is_unsafe(F.col("table_name"), dialect)
+    bad_schema = names.is_unsafe(F.col("schema_name"), _dialect(dialect))
+    bad_table = names.is_unsafe(F.col("table_name"), _dialect(dialect))
     reason = F.when(bad_schema, F.lit("unsafe schema name")).when(bad_table, F.lit("unsafe table name"))
     marked = df.withColumn("reason", reason)
     return marked.where("reason is null").drop("reason"), marked.where("reason is not null")

@@ -34,6 +34,7 @@ class Dictionary:
 
     def __init__(self, **parts: DataFrame | Callable[[], DataFrame]):
         self._parts = parts
+        self.present = [p for p in self.PARTS if p in parts]
 
     def __getattr__(self, name: str) -> DataFrame:
         if name not in self.PARTS:

@@ -27,7 +27,7 @@ def write_records(d: Dictionary, path: str) -> None:
 
 def write_sheets(d: Dictionary, path: str) -> None:
     """Flat CSV per child table for spreadsheet users."""
-    for name in Dictionary.PARTS:
+    for name in d.present:
         df = getattr(d, name)
         key = [c for c in TABLE if c != "source_id"]
         rest = [c for c in df.columns if c not in TABLE]
