@@ -57,9 +57,9 @@ def type_violation(column: str, type_text: str) -> Column:
     digits = re.fullmatch(r"numeric\((\d+),(\d+)\)", type_text)
     if digits:
         precision, scale = int(digits[1]), int(digits[2])
-        # Fits if it survives rounding to the scale within the whole digits left of the point.
-        return c.isNotNull() & (F.round(c.cast("double"), scale).try_cast(f"decimal({precision},{scale})").isNull()
-                                | (F.abs(c.cast("double")) >= F.lit(float(10 ** (precision - scale)))))
+        # It must keep within the digits left of the point after rounding to the scale.
+        whole = F.lit(10 ** (precision - scale)).cast("decimal(38,0)")
+        return F.coalesce(F.abs(F.round(c, scale)) >= whole, F.lit(False))
     raise ValueError(f"no limit in type text: {type_text!r}")
 
 

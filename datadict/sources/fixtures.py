@@ -204,11 +204,21 @@ class Catalog:
 
     def __init__(self, spark: SparkSession, sf_dir: str):
         self.spark, self.sf_dir = spark, sf_dir.rstrip("/")
+        self._made: dict[str, DataFrame] = {}
+
+    def _once(self, name: str, build: Callable[[], DataFrame]) -> DataFrame:
+        """Plan a relation once, so that its uses share one plan and Spark can reuse its exchanges."""
+        if name not in self._made:
+            self._made[name] = build()
+        return self._made[name]
 
     def table(self, name: str) -> DataFrame:
-        return self.spark.read.parquet(f"{self.sf_dir}/{name}.parquet")
+        return self._once(name, lambda: self.spark.read.parquet(f"{self.sf_dir}/{name}.parquet"))
 
     def view(self, name: str) -> DataFrame:
+        return self._once(f"view {name}", lambda: self._build_view(name))
+
+    def _build_view(self, name: str) -> DataFrame:
         spec = VIEWS[name]
         df = self.table(spec.source)
         if spec.where:
@@ -228,7 +238,8 @@ class Catalog:
 
     def of_dialect(self, name: str, dialect: str) -> DataFrame:
         """Rows of the servers that speak the dialect; `oid` tells the server."""
-        return self.view(name).where(IS_POSTGRES if dialect == "postgres" else f"not ({IS_POSTGRES})")
+        rule = IS_POSTGRES if dialect == "postgres" else f"not ({IS_POSTGRES})"
+        return self._once(f"{dialect} {name}", lambda: self.view(name).where(rule))
 
     def mysql(self) -> "Relations":
         """The dump relations of the MySQL servers, keyed by `oid`."""
@@ -257,7 +268,7 @@ class Catalog:
         )
 
     def fleet_tables(self) -> DataFrame:
-        return self.view("cat_tables").selectExpr(*FLEET_SELECT)
+        return self._once("fleet", lambda: self.view("cat_tables").selectExpr(*FLEET_SELECT))
 
     def attributes(self) -> DataFrame:
         return self.view("cat_columns").selectExpr(*ATTRIBUTE_SELECT)
