@@ -41,8 +41,13 @@ def _by_depth(text: Column, top: Callable[[Column], Column], nested: Callable[[C
         )
 
     start = F.struct(F.lit(0).cast("int").alias("depth"), F.lit("").alias("out"))
-    out = F.aggregate(tokens, start, step, lambda acc: acc["out"])
-    return F.substring(out, F.lit(1), F.length(out) - 1)
+    # Without the parenthesis that closed the last token.
+    return F.aggregate(tokens, start, step, lambda acc: F.substring(acc["out"], F.lit(1), F.length(acc["out"]) - 1))
+
+
+def _let(value: Column, use: Callable[[Column], Column]) -> Column:
+    """`use(value)` with the value computed once however often `use` names it."""
+    return F.transform(F.array(value), use)[0]
 
 
 def _blank(c: Column) -> Column:
@@ -57,51 +62,60 @@ def mask_nested(text: Column) -> Column:
 def split_top_level(text: Column) -> Column:
     """Parts between commas that stand outside parentheses; an empty last part is dropped."""
     marked = _by_depth(text, lambda c: F.replace(c, F.lit(","), F.lit(_MARK)), lambda c: c)
-    parts = F.split(marked, _MARK)
-    keep = F.size(parts) - F.when(F.element_at(parts, -1) == "", 1).otherwise(0)
-    return F.slice(parts, F.lit(1), keep)
+
+    def kept(parts: Column) -> Column:
+        return F.slice(parts, F.lit(1), F.size(parts) - F.when(F.element_at(parts, -1) == "", 1).otherwise(0))
+
+    return _let(F.when(text.contains("("), F.split(marked, _MARK)).otherwise(F.split(text, ",")), kept)
 
 
 def _key_part(part: Column) -> Column:
     """A column without its sort words; an expression as it stands."""
-    text = trim_all(part)
-    return F.when(text.contains("("), text).otherwise(F.regexp_extract(text, r"(?U)^(\S*)", 1))
+    return F.when(part.contains("("), trim_all(part)).otherwise(F.regexp_extract(part, r"(?U)^\s*(\S*)", 1))
 
 
 def index_block(indexdef: Column) -> Column:
     """The text from the opening parenthesis of the key list on; null if there is none."""
     before = F.length(F.regexp_extract(indexdef, r"(?is)^.*?USING", 0))
     tail = F.substring(indexdef, before + 1, F.length(indexdef))
-    at = F.instr(tail, "(")
-    return F.when(at > 0, F.substring(tail, at, F.length(tail)))
+    return F.nullif(F.regexp_extract(tail, r"(?s)^[^(]*(\(.*)$", 1), F.lit(""))
+
+
+def _block_end(block: Column) -> Column:
+    """Place of the parenthesis that closes the key list; 0 if none does."""
+    flat = block.rlike(r"^\([^()]*\)")
+    return F.coalesce(F.when(flat, F.instr(block, ")")).otherwise(F.instr(mask_nested(block), ")")), F.lit(0))
+
+
+def _predicate_start(tail: Column) -> Column:
+    """Length of the text up to and with `WHERE `; 0 if the tail has none outside parentheses."""
+    direct = F.length(F.regexp_extract(tail, r"(?i)^(?U:\s*)WHERE ", 0))
+    later = F.length(F.regexp_extract(mask_nested(tail), r"(?is)^.*?(?<!\S)WHERE ", 0))
+    return F.when(~tail.rlike("(?i)WHERE "), 0).when(direct > 0, direct).otherwise(later)
 
 
 def with_index_parts(df, indexdef: str = "indexdef"):
     """Add `is_unique`, `index_columns` and `predicate` read from a CREATE INDEX text.
 
-    Done in steps of named columns so that each fold is evaluated once per row.
+    Done in steps of named columns, so that each is evaluated once per row; the folds run only on
+    texts with nested parentheses.
     """
     c = F.col
     return (
         df.withColumn("_block", index_block(c(indexdef)))
-        .withColumn("_mask", mask_nested(c("_block")))
-        .withColumn("_close", F.coalesce(F.instr(c("_mask"), ")"), F.lit(0)))
-        .withColumn("_tail", F.substring(c("_mask"), c("_close") + 1, F.length("_mask")))
-        .withColumn("_where", F.length(F.regexp_extract("_tail", r"(?is)^.*?(?<!\S)WHERE ", 0)))
-        .withColumn("_inner", F.substring("_block", F.lit(2), c("_close") - 2))
-        .withColumn(
-            "_pred",
-            F.when((c("_close") > 0) & (c("_where") > 0),
-                   trim_all(F.substring(c("_block"), c("_close") + c("_where") + 1, F.length("_block")))),
-        )
-        .withColumn("is_unique", F.coalesce(c(indexdef).rlike(r"^(?i)CREATE UNIQUE INDEX"), F.lit(False)))
-        .withColumn(
-            "index_columns",
-            F.when(c("_close") > 0, F.array_join(F.transform(split_top_level(c("_inner")), _key_part), ", "))
-            .otherwise(F.lit("")),
+        .withColumn("_close", _block_end(c("_block")))
+        .withColumn("_tail", F.substring(c("_block"), c("_close") + 1, F.length("_block")))
+        .withColumn("_where", F.when(c("_close") > 0, _predicate_start(c("_tail"))))
+        .select(
+            *[c(f"`{n}`") for n in df.columns],
+            F.coalesce(c(indexdef).rlike(r"^(?i)CREATE UNIQUE INDEX"), F.lit(False)).alias("is_unique"),
+            F.when(c("_close") > 0, F.array_join(F.transform(
+                split_top_level(F.substring("_block", F.lit(2), c("_close") - 2)), _key_part), ", "))
+            .otherwise(F.lit("")).alias("index_columns"),
+            F.when(c("_where") > 0, F.nullif(
+                trim_all(F.substring("_tail", c("_where") + 1, F.length("_tail"))), F.lit("")))
+            .alias("predicate"),
         )
-        .withColumn("predicate", F.nullif(c("_pred"), F.lit("")))
-        .drop("_block", "_mask", "_close", "_tail", "_where", "_inner", "_pred")
     )
 
 

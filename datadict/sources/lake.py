@@ -8,6 +8,7 @@ column. Long values are compared by SHA-256, so texts are never shuffled.
 from __future__ import annotations
 
 from collections.abc import Mapping
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -51,36 +52,36 @@ def value_key(field: T.StructField) -> Column:
 
 
 def schema_rows(tables: Mapping[str, DataFrame]) -> DataFrame:
-    """(table, ordinal, column, type, nullable) as the readers see them."""
+    """(table, ordinal, column, type, nullable) as the readers see them, with a number for each column."""
     spark = next(iter(tables.values())).sparkSession
-    rows = [(name, at, f.name, f.dataType.simpleString(), f.nullable)
-            for name, df in tables.items() for at, f in enumerate(df.schema.fields, 1)]
+    fields = [(name, at, f) for name, df in tables.items() for at, f in enumerate(df.schema.fields, 1)]
+    rows = [(i, name, at, f.name, f.dataType.simpleString(), f.nullable) for i, (name, at, f) in enumerate(fields)]
     return spark.createDataFrame(
-        rows, "table_name string, ordinal_position int, column_name string, type_text string, nullable boolean")
+        rows, "column_no int, table_name string, ordinal_position int, column_name string, type_text string,"
+              " nullable boolean")
 
 
-def _cells(name: str, df: DataFrame) -> DataFrame:
-    """One row per column and row: ordinal, value key, bytes."""
+def _cells(first: int, df: DataFrame) -> DataFrame:
+    """One row per column and row: number of the column, value key, bytes."""
     fields = df.schema.fields
     prepared = df.select(
         *[value_key(f).alias(f"k{i}") for i, f in enumerate(fields)],
         *[stored_bytes(f).cast("bigint").alias(f"b{i}") for i, f in enumerate(fields)])
-    pairs = ", ".join(f"{i + 1}, k{i}, b{i}" for i in range(len(fields)))
-    return prepared.select(
-        F.lit(name).alias("table_name"),
-        F.expr(f"stack({len(fields)}, {pairs}) as (ordinal_position, value_key, value_bytes)"))
+    triples = ", ".join(f"{first + i}, k{i}, b{i}" for i in range(len(fields)))
+    return prepared.select(F.expr(f"stack({len(fields)}, {triples}) as (column_no, value_key, value_bytes)"))
 
 
 def column_profile(tables: Mapping[str, DataFrame]) -> DataFrame:
-    """Rows, nulls, distinct values and bytes of every column."""
-    cells = None
-    for name, df in tables.items():
-        part = _cells(name, df)
-        cells = part if cells is None else cells.unionByName(part)
+    """Rows, nulls, distinct values and bytes of every column, by its number in `schema_rows`."""
+    parts, first = [], 0
+    for df in tables.values():
+        parts.append(_cells(first, df))
+        first += len(df.columns)
     return (
-        cells.groupBy("table_name", "ordinal_position", "value_key")
+        reduce(DataFrame.unionByName, parts)
+        .groupBy("column_no", "value_key")
         .agg(F.count(F.lit(1)).alias("n"), F.sum("value_bytes").alias("b"))
-        .groupBy("table_name", "ordinal_position")
+        .groupBy("column_no")
         .agg(F.sum("n").cast("bigint").alias("row_count"),
              F.coalesce(F.sum(F.when(F.col("value_key").isNull(), F.col("n"))), F.lit(0)).cast("bigint")
              .alias("null_count"),
@@ -91,5 +92,5 @@ def column_profile(tables: Mapping[str, DataFrame]) -> DataFrame:
 
 def dictionary(tables: Mapping[str, DataFrame]) -> DataFrame:
     """Schema rows with their profile; a column of an empty data set has zeros."""
-    joined = schema_rows(tables).join(column_profile(tables), ["table_name", "ordinal_position"], "left")
+    joined = schema_rows(tables).join(column_profile(tables), "column_no", "left").drop("column_no")
     return joined.fillna(0, ["row_count", "null_count", "distinct_count", "byte_count"])
