@@ -18,11 +18,11 @@ PATTERNS = ["tmp_%", "log_%"]
 
 
 def mysql_of(c: Catalog, patterns=()) -> dic.Dictionary:
-    return dic.mysql_dictionary(c.mysql(), OID, except_patterns=patterns)
+    return dic.mysql_dictionary(c.stored().mysql(), OID, except_patterns=patterns)
 
 
 def postgres_of(c: Catalog, patterns=()) -> dic.Dictionary:
-    return dic.postgres_dictionary(c.postgres(), OID, except_patterns=patterns, backing=("index_name",))
+    return dic.postgres_dictionary(c.stored().postgres(), OID, except_patterns=patterns, backing=("index_name",))
 
 
 def fleet(c: Catalog, patterns=()) -> dic.Dictionary:

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -14,6 +12,7 @@ from datadict.plans import dictionary as dic
 from datadict.plans import documents as doc
 from datadict.sources import sinks
 from datadict.sources.fixtures import Catalog
+from datadict.storage import place
 
 DICT = sql.dictionary(sql.KEPT_NAME)
 T3 = "source_id, schema_name, table_name"
@@ -172,7 +171,7 @@ create_lines as (select * from created where ({T3}) not in (select ({T3}) from f
 
 
 def _postgres_ddl(c: Catalog) -> tuple[DataFrame, DataFrame]:
-    rel = c.postgres()
+    rel = c.stored().postgres()
     base = filters.by_type(dic.kept_tables(rel["tables"], except_patterns=PATTERNS))[0]
     return doc.create_table_lines(doc.postgres_ddl_inputs(rel, base, OID, backing=("index_name",)))
 
@@ -216,7 +215,7 @@ all_lines as (
 def scripts(c: Catalog) -> tuple[DataFrame, DataFrame]:
     tables = dic.kept_tables(c.fleet_tables(), except_patterns=PATTERNS)
     made, failed = _postgres_ddl(c)
-    mysql, postgres = c.mysql(), c.postgres()
+    mysql, postgres = c.stored().mysql(), c.stored().postgres()
     dumped = dic.locate(mysql["show_create"], tables, OID).select(
         *dic.TABLE, F.coalesce("create_table", "create_view").alias("ddl_text"))
     views = dic.postgres_dictionary(postgres, OID, except_patterns=PATTERNS).views
@@ -235,20 +234,16 @@ def rejected_tables(c: Catalog) -> DataFrame:
 
 # --- writers ------------------------------------------------------------------------------------
 
-def _place(c: Catalog, name: str) -> str:
-    return f"{ordered.shared_dir(c.spark)}/{name}-{uuid.uuid4().hex}"
-
-
 @check("snk_1_markdown_files", MARKDOWN + "select source_id, schema_name, line from all_lines")
 def markdown_files(c: Catalog) -> DataFrame:
-    path = _place(c, "markdown")
+    path = place(c.spark, "markdown")
     sinks.write_documents(markdown(c), path)
     return c.spark.read.text(path).selectExpr("source_id", "schema_name", "value as line")
 
 
 @check("snk_2_script_files", SCRIPTS + "select source_id, schema_name, line from all_lines")
 def script_files(c: Catalog) -> DataFrame:
-    path = _place(c, "scripts")
+    path = place(c.spark, "scripts")
     sinks.write_documents(scripts(c)[0], path)
     return c.spark.read.text(path).selectExpr("source_id", "schema_name", "value as line")
 
@@ -267,14 +262,14 @@ left join (select {T3}, count(*) as n, string_agg(constraint_name || '>' || refe
 
 @check("snk_3_record_files", RECORDS)
 def record_files(c: Catalog) -> DataFrame:
-    path = _place(c, "records")
+    path = place(c.spark, "records")
     sinks.write_records(fleet(c, PATTERNS), path)
     return _flat_records(c.spark.read.parquet(path), "table_type", "record_part")
 
 
 @check("snk_3_sheet_files", DICT + f"select {T3}, index_name, part_no, non_unique, index_columns, predicate from d_indexes")
 def sheet_files(c: Catalog) -> DataFrame:
-    path = _place(c, "sheets")
+    path = place(c.spark, "sheets")
     full = fleet(c, PATTERNS)
     sinks.write_sheets(dic.Dictionary(indexes=full.indexes), path)
     schema = ("schema_name string, table_name string, index_name string, part_no int, non_unique int,"

@@ -8,13 +8,14 @@ are few and already counted.
 
 from __future__ import annotations
 
-import tempfile
 from collections.abc import Sequence
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from datadict.storage import pin
+
 # Members of one list or record part. No server allows an index of 4,096 columns or a table of
 # more, so a real list is a single part; a longer one goes on in parts 1, 2, ... of equal key.
 PART_SIZE = 4096
@@ -22,22 +23,6 @@ PART_SIZE = 4096
 _ROW_BITS = 33  # monotonically_increasing_id: partition above, row below
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The shared folder named by `spark.checkpoint.dir`; one of our own only where none is set."""
-    named = spark.sparkContext.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir", None)
-    if named is None:
-        named = tempfile.mkdtemp(prefix="datadict-")
-    if spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir(named)
-    return spark.sparkContext.getCheckpointDir()
-
-
-def pin(df: DataFrame) -> DataFrame:
-    """Reliable checkpoint: a lost executor cannot change what was numbered."""
-    shared_dir(df.sparkSession)
-    return df.checkpoint()
-
-
 def part_of(position: Column, size: int = PART_SIZE) -> Column:
     """Part number of a 1-based position."""
     return F.floor((position - 1) / size).cast("int")

@@ -14,6 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from datadict.operators.ordered import number_rows
+from datadict.storage import store
 
 TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events",
           "documents", "embeddings", "pages", "benchmark", "labels", "conversations")
@@ -205,6 +206,20 @@ class Catalog:
     def __init__(self, spark: SparkSession, sf_dir: str):
         self.spark, self.sf_dir = spark, sf_dir.rstrip("/")
         self._made: dict[str, DataFrame] = {}
+        self._stored: Catalog | None = None
+        self._keep = False
+
+    def stored(self) -> "Catalog":
+        """The same catalog with `cat_columns` written once, for builds that read it many times.
+
+        A real dump is on disk already; this view numbers rows, which is a shuffle at each use.
+        """
+        if self._keep:
+            return self
+        if self._stored is None:
+            self._stored = Catalog(self.spark, self.sf_dir)
+            self._stored._keep = True
+        return self._stored
 
     def _once(self, name: str, build: Callable[[], DataFrame]) -> DataFrame:
         """Plan a relation once, so that its uses share one plan and Spark can reuse its exchanges."""
@@ -216,7 +231,11 @@ class Catalog:
         return self._once(name, lambda: self.spark.read.parquet(f"{self.sf_dir}/{name}.parquet"))
 
     def view(self, name: str) -> DataFrame:
-        return self._once(f"view {name}", lambda: self._build_view(name))
+        def build() -> DataFrame:
+            df = self._build_view(name)
+            return store(df, name) if self._keep and name == "cat_columns" else df
+
+        return self._once(f"view {name}", build)
 
     def _build_view(self, name: str) -> DataFrame:
         spec = VIEWS[name]

@@ -2,14 +2,13 @@
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from datadict.operators.filters import slow_extracts
-from datadict.operators.ordered import shared_dir
+from datadict.storage import place
 
 SALTS = 64
 
@@ -48,7 +47,7 @@ def read_files(spark: SparkSession, directory: str, file_name: str) -> DataFrame
 def run_available(stream: DataFrame, name: str) -> DataFrame:
     """Process what is there, into a table in the shared folder, and read it back."""
     spark = stream.sparkSession
-    root = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    root = place(spark, name)
     query = (stream.writeStream.format("parquet").outputMode("append").trigger(availableNow=True)
              .option("path", f"{root}/rows").option("checkpointLocation", f"{root}/state").start())
     query.awaitTermination()
