@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from datadict.plans.dictionary import TABLE, Dictionary, records
 from datadict.plans.documents import DOCUMENT, ORDER
+from datadict.storage import store
 
 
 def write_documents(document_lines: DataFrame, path: str) -> None:
@@ -14,8 +15,13 @@ def write_documents(document_lines: DataFrame, path: str) -> None:
 
     Range partitioning on the full line key spreads a large document over many tasks. Its files in
     name order are the document; a small document is one file, or two where a range ends in it.
+
+    The lines are stored first. Of a constant `source_id` (one server) Spark would drop the sort key,
+    then miss the order the writer asks for, and sort again by directory alone, which loses the order
+    of the lines; a stored column is never constant to it. Sampling the ranges is then a cheap read.
     """
-    filled = document_lines.withColumns({c: F.coalesce(c, F.lit("")) for c in DOCUMENT})
+    stored = store(document_lines.select(*DOCUMENT, *ORDER, "line"), "lines")
+    filled = stored.withColumns({c: F.coalesce(c, F.lit("")) for c in DOCUMENT})
     ordered = filled.repartitionByRange(*DOCUMENT, *ORDER).sortWithinPartitions(*DOCUMENT, *ORDER)
     ordered.select(*DOCUMENT, "line").write.mode("overwrite").partitionBy(*DOCUMENT).text(path)
 

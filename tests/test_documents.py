@@ -235,6 +235,29 @@ def test_document_files_in_name_order_are_the_document(spark, tmp_path):
         spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "true")
 
 
+def written_plan(spark):
+    """Physical plan of the last write."""
+    executions = spark._jsparkSession.sharedState().statusStore().executionsList()
+    return executions.apply(executions.size() - 1).physicalPlanDescription()
+
+
+@pytest.mark.parametrize("source", [F.lit, lambda s: F.concat(F.lit(s), F.substring("table_name", 1, 0))])
+def test_one_constant_source_keeps_its_order(spark, tmp_path, source):
+    tables = spark.range(5000).selectExpr(
+        "'s' as schema_name", "concat('t', lpad(id * 7919 % 5000, 5, '0')) as table_name", "'mysql' as dialect",
+        "'SEQUENCE' as table_type", "cast(null as string) as engine", "cast(null as string) as row_format",
+        "cast(null as string) as collation", "cast(null as string) as comment").repartition(7)
+    empty = build(spark)
+    d = dic.Dictionary(tables=tables.withColumn("source_id", source("e")), columns=empty.columns, indexes=empty.indexes,
+                       foreign_keys=empty.foreign_keys, views=empty.views)
+    lines = doc.markdown_lines(d)
+    sinks.write_documents(lines, str(tmp_path / "md"))
+    sorts = [part for part in written_plan(spark).split("\n\n") if "Sort [" in part]
+    assert all("item_name" in part for part in sorts) and sorts
+    files = sorted(glob.glob(f"{tmp_path}/md/source_id=e/schema_name=s/part-*"))
+    assert "".join(open(f, encoding="utf-8").read() for f in files) == text(lines)
+
+
 def test_record_and_sheet_files(spark, tmp_path):
     d = orders(spark)
     sinks.write_records(d, str(tmp_path / "records"))
