@@ -24,6 +24,10 @@ def local(cpus: str | int = "*", memory: str = "8g", **settings: str) -> SparkSe
         .config("spark.driver.host", "127.0.0.1").config("spark.driver.bindAddress", "127.0.0.1")
         .config("spark.ui.enabled", "false")
         .config("spark.sql.shuffle.partitions", "8")
+        # Small data, heavy rows: the usual least size of 1 MB would leave most cores idle.
+        .config("spark.sql.adaptive.coalescePartitions.minPartitionSize", "128k")
+        # Lists of many small groups stay in the hash map; a cluster keeps the memory-safe default.
+        .config("spark.sql.objectHashAggregate.sortBased.fallbackThreshold", "100000")
     )
     for name, value in {**ADAPTIVE, **settings}.items():
         builder = builder.config(name, value)
