@@ -4,9 +4,10 @@ import duckdb
 import pytest
 
 import __spark_entry__ as contract
+import checks
 from datadict.sources.fixtures import TABLES
 
-QUERIES, ORACLES = contract.queries(), contract.oracle_sql()
+QUERIES, ORACLES = checks.QUERIES, checks.ORACLES
 KINDS = {"int": "INTEGER", "bigint": "BIGINT", "string": "VARCHAR", "boolean": "BOOLEAN", "double": "DOUBLE"}
 
 
