@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from datadict.llm import quality
+from datadict.llm import line_dedup, mixing, quality
 from datadict.llm.registry import ORACLES, QUERIES, query, table
 
 __all__ = ["ORACLES", "QUERIES"]
@@ -11,3 +11,14 @@ __all__ = ["ORACLES", "QUERIES"]
 @query("op8_quality_rules", quality.sql())
 def op8_quality_rules(spark, sf_dir):
     return quality.verdict_rows(table(spark, sf_dir, "documents"))
+
+
+@query("op3_line_dedup", line_dedup.sql())
+def op3_line_dedup(spark, sf_dir):
+    documents = table(spark, sf_dir, "documents").select("doc_id", "source", "text")
+    return line_dedup.line_dedup(documents, counts=("n_lines", "n_dropped"))
+
+
+@query("op9_mixing", mixing.sql())
+def op9_mixing(spark, sf_dir):
+    return mixing.mix(table(spark, sf_dir, "documents"))
