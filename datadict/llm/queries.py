@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from datadict.llm import line_dedup, mixing, quality
+from datadict.llm import line_dedup, mixing, packing, quality
 from datadict.llm.registry import ORACLES, QUERIES, query, table
 
 __all__ = ["ORACLES", "QUERIES"]
@@ -22,3 +22,8 @@ def op3_line_dedup(spark, sf_dir):
 @query("op9_mixing", mixing.sql())
 def op9_mixing(spark, sf_dir):
     return mixing.mix(table(spark, sf_dir, "documents"))
+
+
+@query("op2_best_fit_packing")
+def op2_best_fit_packing(spark, sf_dir):
+    return packing.packed_documents(table(spark, sf_dir, "documents"))
