@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from datadict.llm import line_dedup, mixing, packing, quality
+from datadict.llm import line_dedup, mixing, ngram_join, packing, quality
 from datadict.llm.registry import ORACLES, QUERIES, query, table
 
 __all__ = ["ORACLES", "QUERIES"]
@@ -27,3 +27,9 @@ def op9_mixing(spark, sf_dir):
 @query("op2_best_fit_packing")
 def op2_best_fit_packing(spark, sf_dir):
     return packing.packed_documents(table(spark, sf_dir, "documents"))
+
+
+@query("op4_ngram_jaccard")
+def op4_ngram_jaccard(spark, sf_dir):
+    rows = ngram_join.joined(table(spark, sf_dir, "documents"), ngram_join.Bound(words=3, percent=90))
+    return rows.select("doc_id", rows["n"].alias("n_shingles"), "component_id")
