@@ -60,7 +60,7 @@ def line_dedup(documents: DataFrame, host: str = "source", text: str = "text", r
     lines, kept = free_name(documents, "lines"), free_name(documents, "kept_lines")
     df = documents.join(drops, documents[host].cast("string").eqNullSafe(drops["line_host"]), "left")
     own = [documents[c] for c in documents.columns]
-    df = df.select(*own, F.col("drop").alias(kept), F.split(documents[text], "\n").alias(lines))
+    df = df.select(*own, drops["drop"].alias(kept), F.split(documents[text], "\n").alias(lines))
     names = [F.col(f"`{c}`") for c in documents.columns]
     df = df.select(*names, lines, F.when(F.col(kept).isNull(), F.col(lines)).otherwise(F.filter(
         lines, lambda x: ~F.coalesce(F.array_contains(F.col(kept), _line_key(x)), F.lit(False)))).alias(kept))

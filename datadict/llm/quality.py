@@ -145,11 +145,11 @@ def judged(rows: DataFrame, measures: str, host: str, limits: Limits = Limits())
     kept = free_name(rows, "kept")
     verdicts = host_verdicts(rows, measures, host, limits)
     failed = failures(F.col(measures), limits)
-    confirmed = [failed[r] & F.col("confirmed")[r] for r in RULES if r not in ("few_words", "repeats")]
-    bad = base_failed(F.col(measures), limits) | F.col("rejected")
+    confirmed = [failed[r] & verdicts["confirmed"][r] for r in RULES if r not in ("few_words", "repeats")]
+    bad = base_failed(F.col(measures), limits) | verdicts["rejected"]
     for c in confirmed:
         bad = bad | c
-    joined = rows.alias("r").join(verdicts, rows[host].cast("string").eqNullSafe(F.col("verdict_host")))
+    joined = rows.alias("r").join(verdicts, rows[host].cast("string").eqNullSafe(verdicts["verdict_host"]))
     return joined.select("r.*", (~bad).alias(kept))
 
 

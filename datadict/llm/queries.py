@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
-from datadict.llm import line_dedup, mixing, ngram_join, packing, quality
+import corpus_pipeline
+from datadict.llm import fingerprints, line_dedup, mixing, ngram_join, packing, quality
 from datadict.llm.registry import ORACLES, QUERIES, query, table
 
 __all__ = ["ORACLES", "QUERIES"]
 
+query("pipeline", corpus_pipeline.ORACLE_SQL)(corpus_pipeline.run)
+
 
 @query("op8_quality_rules", quality.sql())
 def op8_quality_rules(spark, sf_dir):
@@ -33,3 +36,8 @@ def op2_best_fit_packing(spark, sf_dir):
 def op4_ngram_jaccard(spark, sf_dir):
     rows = ngram_join.joined(table(spark, sf_dir, "documents"), ngram_join.Bound(words=3, percent=90))
     return rows.select("doc_id", rows["n"].alias("n_shingles"), "component_id")
+
+
+@query("op5_order_minhash")
+def op5_order_minhash(spark, sf_dir):
+    return fingerprints.edited_pairs(table(spark, sf_dir, "documents"))
