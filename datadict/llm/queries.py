@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import corpus_pipeline
-from datadict.llm import fingerprints, line_dedup, mixing, ngram_join, packing, quality
+from datadict.llm import fingerprints, html_extract, line_dedup, mixing, ngram_join, packing, quality
 from datadict.llm.registry import ORACLES, QUERIES, query, table
 
 __all__ = ["ORACLES", "QUERIES"]
@@ -41,3 +41,8 @@ def op4_ngram_jaccard(spark, sf_dir):
 @query("op5_order_minhash")
 def op5_order_minhash(spark, sf_dir):
     return fingerprints.edited_pairs(table(spark, sf_dir, "documents"))
+
+
+@query("op1_page_text")
+def op1_page_text(spark, sf_dir):
+    return html_extract.main_text(table(spark, sf_dir, "pages"))
