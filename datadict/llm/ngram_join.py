@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 
 from datadict.llm.components import components
 from datadict.llm.registry import free_name
-from datadict.llm.tables import Scratch
+from datadict.llm.tables import Scratch, bit_field, in_field, slot_of
 from datadict.llm.words import mix64, shingle_sets, text_slices, words_of
 from datadict.storage import store
 
@@ -40,7 +40,6 @@ COUNTERS = 1 << 20
 COUNTER_PARTS = 64
 FAN_IN = 1024
 BLOCK_ROWS = 2048
-FILTER_SLOTS = 1 << 22
 PAIR_BATCH = 256
 
 
@@ -266,12 +265,7 @@ def _linked(pairs: DataFrame, classes: DataFrame, documents: DataFrame, bound: B
     spark = documents.sparkSession
     nodes = pairs.select(F.col("a").alias("row")).union(pairs.select("b")).distinct()
     chosen = scratch.store(classes.select("row", "id").join(nodes, "row"), "nodes")
-    slot = F.pmod(F.xxhash64("doc_id"), F.lit(FILTER_SLOTS)).cast("int")
-    bits = chosen.select(F.pmod(F.xxhash64("id"), F.lit(FILTER_SLOTS)).cast("int").alias("slot")).groupBy(
-        F.shiftright("slot", 5).alias("at")).agg(F.bit_or(F.expr("shiftleft(1L, slot & 31)")).alias("bits"))
-    field = np.zeros(FILTER_SLOTS // 32, np.uint32)
-    for r in bits.collect():  # at most FILTER_SLOTS / 32 rows
-        field[r["at"]] = r["bits"]
+    field = bit_field(chosen, "id")
     held = spark.sparkContext.broadcast(field)
 
     def sets(batches: Iterator) -> Iterator:
@@ -280,7 +274,7 @@ def _linked(pairs: DataFrame, classes: DataFrame, documents: DataFrame, bound: B
         field = held.value
         for batch in batches:
             at = batch.column(0).to_numpy()
-            batch = batch.filter(pa.array((field[at >> 5] >> (at & 31).astype(np.uint32)) & 1 == 1))
+            batch = batch.filter(pa.array(in_field(field, at)))
             for _, data, offsets in text_slices(batch.column(1)):
                 grams = [g for g in shingle_sets(words_of(data, offsets, True), bound.words) if len(g)]
                 yield pa.RecordBatch.from_arrays([
@@ -300,7 +294,7 @@ def _linked(pairs: DataFrame, classes: DataFrame, documents: DataFrame, bound: B
                 keep.append(100 * overlap >= bound.percent * (len(x) + len(y) - overlap))
             yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
-    made = documents.select(slot.alias("slot"), "text").mapInArrow(sets, "row bigint, grams binary")
+    made = documents.select(slot_of(F.col("doc_id")).alias("slot"), "text").mapInArrow(sets, "row bigint, grams binary")
     made = made.join(chosen.select("row"), "row").dropDuplicates(["row"])
     setting = "spark.sql.execution.arrow.maxRecordsPerBatch"
     before = spark.conf.get(setting)

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import corpus_pipeline
-from datadict.llm import fingerprints, html_extract, line_dedup, mixing, ngram_join, packing, quality
+from datadict.llm import fingerprints, html_extract, line_dedup, mixing, ngram_join, packing, quality, substring
 from datadict.llm.registry import ORACLES, QUERIES, query, table
 
 __all__ = ["ORACLES", "QUERIES"]
@@ -46,3 +46,8 @@ def op5_order_minhash(spark, sf_dir):
 @query("op1_page_text")
 def op1_page_text(spark, sf_dir):
     return html_extract.main_text(table(spark, sf_dir, "pages"))
+
+
+@query("op7_repeated_passages")
+def op7_repeated_passages(spark, sf_dir):
+    return substring.repeated_passages(table(spark, sf_dir, "documents"))
