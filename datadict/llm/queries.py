@@ -3,7 +3,17 @@
 from __future__ import annotations
 
 import corpus_pipeline
-from datadict.llm import fingerprints, html_extract, line_dedup, mixing, ngram_join, packing, quality, substring
+from datadict.llm import (
+    fingerprints,
+    html_extract,
+    line_dedup,
+    mixing,
+    ngram_join,
+    packing,
+    quality,
+    substring,
+    token_counts,
+)
 from datadict.llm.registry import ORACLES, QUERIES, query, table
 
 __all__ = ["ORACLES", "QUERIES"]
@@ -51,3 +61,8 @@ def op1_page_text(spark, sf_dir):
 @query("op7_repeated_passages")
 def op7_repeated_passages(spark, sf_dir):
     return substring.repeated_passages(table(spark, sf_dir, "documents"))
+
+
+@query("op10_edited_token_counts")
+def op10_edited_token_counts(spark, sf_dir):
+    return token_counts.edited_counts(table(spark, sf_dir, "documents"))
