@@ -6,6 +6,7 @@ import corpus_pipeline
 from datadict.llm import (
     fingerprints,
     html_extract,
+    licenses,
     line_dedup,
     mixing,
     ngram_join,
@@ -66,3 +67,8 @@ def op7_repeated_passages(spark, sf_dir):
 @query("op10_edited_token_counts")
 def op10_edited_token_counts(spark, sf_dir):
     return token_counts.edited_counts(table(spark, sf_dir, "documents"))
+
+
+@query("op6_license_scan")
+def op6_license_scan(spark, sf_dir):
+    return licenses.license_scan(licenses.with_paths(table(spark, sf_dir, "documents")))
