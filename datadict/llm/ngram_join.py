@@ -57,8 +57,8 @@ class Bound:
     def cells(self, n: int) -> int:
         """Parity cells of a row: enough that unrelated rows differ in more of them than a link may."""
         cells = 512
-        while cells * (100 + self.percent) < 10 * n * (100 - self.percent):
-            cells *= 4
+        while cells * (100 + self.percent) < 7 * n * (100 - self.percent):
+            cells *= 2
         return cells
 
 
@@ -151,8 +151,13 @@ def _described(documents: DataFrame, bound: Bound, counts) -> DataFrame:
         run, f"doc_id {kind}, text_key bigint, row bigint, n bigint, cells binary, columns array<bigint>")
 
 
-def _shared(entries: DataFrame) -> DataFrame:
-    """The entries of columns with two rows or more. One shuffle; a column is never held as a whole."""
+def _shared(entries: DataFrame, bound: Bound) -> DataFrame:
+    """The entries whose column has another row of a size they can link with.
+
+    One shuffle. The rows of a column come by size, so a row's nearest sizes stand beside it, and a
+    column is never held as a whole.
+    """
+    percent = bound.percent
 
     def run(batches: Iterator) -> Iterator:
         import numpy as np
@@ -165,8 +170,8 @@ def _shared(entries: DataFrame) -> DataFrame:
                     [pa.concat_arrays([h, c]) for h, c in zip(held.columns, batch.columns)], batch.schema.names)
             if not batch.num_rows:
                 continue
-            column = batch.column(0).to_numpy()
-            same = column[1:] == column[:-1]
+            column, n = batch.column(0).to_numpy(), batch.column(2).to_numpy()
+            same = (column[1:] == column[:-1]) & (n[1:] * percent <= 100 * n[:-1])
             keep = np.zeros(len(column), bool)
             keep[1:] = same
             keep[:-1] |= same
@@ -177,7 +182,7 @@ def _shared(entries: DataFrame) -> DataFrame:
         if held is not None and repeated:
             yield held
 
-    return entries.select("column", "row", "n").repartition("column").sortWithinPartitions("column").mapInArrow(
+    return entries.select("column", "row", "n").repartition("column").sortWithinPartitions("column", "n").mapInArrow(
         run, "column bigint, row bigint, n bigint")
 
 
@@ -205,12 +210,12 @@ def _candidates(members: DataFrame, bound: Bound, leaders: bool) -> DataFrame:
                     continue
                 mine = cells
                 while wide > width:
-                    wide //= 4
-                    more = (more ^ more >> wide ^ more >> 2 * wide ^ more >> 3 * wide) & ((1 << wide) - 1)
+                    wide //= 2
+                    more = (more ^ more >> wide) & ((1 << wide) - 1)
                 narrow = width
                 while narrow > wide:
-                    narrow //= 4
-                    mine = (mine ^ mine >> narrow ^ mine >> 2 * narrow ^ mine >> 3 * narrow) & ((1 << narrow) - 1)
+                    narrow //= 2
+                    mine = (mine ^ mine >> narrow) & ((1 << narrow) - 1)
                 if (mine ^ more).bit_count() * (100 + percent) <= (n + m) * (100 - percent):
                     yield (row, other) if row < other else (other, row)
 
@@ -320,7 +325,7 @@ def joined(documents: DataFrame, bound: Bound = Bound(), doc_id: str = "doc_id",
     classes = scratch.store(described.where("n > 0").groupBy("row").agg(
         F.min("doc_id").alias("id"), F.first("n").alias("n"), F.first("cells").alias("cells"),
         F.first("columns").alias("columns")), "classes")
-    shared = scratch.store(_shared(classes.select("row", "n", F.explode("columns").alias("column"))), "shared")
+    shared = scratch.store(_shared(classes.select("row", "n", F.explode("columns").alias("column")), bound), "shared")
     blocks = scratch.store(_blocks(shared), "blocks")
     cells = classes.select("row", "cells")
     first = scratch.store(_candidates(
