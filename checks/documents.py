@@ -154,8 +154,8 @@ entries as (
   from pg_resolved c join pg_base t on t.oid = c.oid
   where contype in ('p', 'u', 'f', 'c') and not (contype = 'c' and ends_with(conname, '_not_null'))),
 failed as (
-  select distinct {T3} from entries where line is null
-  union select {T3} from pg_base where contains(table_name, ';')),
+  select {T3}, case when contains(table_name, ';') then 'unsafe table name' else 'unsafe name in a column or constraint' end as reason
+  from pg_base where contains(table_name, ';') or ({T3}) in (select ({T3}) from entries where line is null)),
 counted as (select *, row_number() over (partition by {T3} order by block desc, item desc, item_name desc) as back from entries),
 created as (
   select {T3}, 10 as block, 0 as item, '' as item_name,
@@ -184,7 +184,7 @@ def create_table(c: Catalog) -> DataFrame:
         .select(*dic.TABLE, "position", "line")
 
 
-@check("doc_1_failed_tables", CREATED + f"select {T3} from failed")
+@check("doc_1_failed_tables", CREATED + f"select {T3}, reason from failed")
 def failed_tables(c: Catalog) -> DataFrame:
     return _postgres_ddl(c)[1]
 

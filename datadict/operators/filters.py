@@ -13,10 +13,6 @@ from datadict.functions import names
 BASE_TABLE, VIEW = "BASE TABLE", "VIEW"
 SLOW_SECONDS = 1.0
 
-# Up to this many patterns become one predicate; a longer pattern table is joined.
-FOLD_LIMIT = 256
-_ANCHOR = 3
-
 
 def _dialect(dialect: str | Column | None) -> Column:
     """A given dialect, a given column, or the column `dialect`."""
@@ -36,64 +32,74 @@ def target_schemas(df: DataFrame, targets: Sequence[str] | DataFrame | None) ->
     return df.where(F.col("schema_name").isin(*targets)) if targets else df
 
 
+def _folded(text: Column) -> Column:
+    """Lower case letter by letter: the final form of sigma is the plain one, wherever it stands."""
+    return F.translate(F.lower(text), "ς", "σ")
+
+
 def _like(name: Column, pattern: Column | str, dialect: str | Column | None) -> Column:
-    """LIKE of the server: MySQL compares without case."""
+    """LIKE of the server: MySQL compares without case. A null name matches nothing."""
     pattern = F.lit(pattern) if isinstance(pattern, str) else pattern
-    return F.when(_dialect(dialect) == "mysql", F.ilike(name, pattern)).otherwise(F.like(name, pattern))
+    hit = F.when(_dialect(dialect) == "mysql", F.like(_folded(name), _folded(pattern))).otherwise(F.like(name, pattern))
+    return F.coalesce(hit, F.lit(False))
 
 
 def exclude_like(df: DataFrame, patterns: Sequence[str], dialect: str | Column | None = None) -> DataFrame:
-    """Drop tables whose name matches any pattern; `%` and `_` are wildcards, `*` is not."""
+    """Drop tables whose name matches any pattern; `%` and `_` are wildcards unless escaped, `*` is not."""
     hits = [_like(F.col("table_name"), p, dialect) for p in patterns]
     return df.where(~reduce(lambda a, b: a | b, hits)) if hits else df
 
 
-def exclude_by_pattern_table(df: DataFrame, patterns: DataFrame, key: Sequence[str],
-                             fold_limit: int = FOLD_LIMIT) -> DataFrame:
-    """Drop tables matching any row of `patterns(pattern)`.
+def exclude_by_pattern_table(df: DataFrame, patterns: DataFrame, key: Sequence[str]) -> DataFrame:
+    """Drop tables matching any row of `patterns(pattern)`, by one equi-join for any number of patterns.
 
-    A short pattern table is read (at most `fold_limit` + 1 rows) and folded into one predicate. A
-    long one is matched by an equi-join: every pattern with literal text names one piece of it that
-    a matching name must contain, so names meet only patterns whose piece they hold, and LIKE
-    decides. Patterns without literal text depend on the name's length alone.
+    A pattern with literal text names its longest run of it, which a matching name must contain; LIKE
+    decides on the names that do. A pattern of wildcards alone asks for the number of characters of a
+    name, or for a least number. Names offer all their substrings and lengths; a server's identifiers
+    have 64 characters at most, so these are a bounded number per name.
     """
-    wanted = patterns.select("pattern").where("pattern is not null").distinct()
-    few = [row["pattern"] for row in wanted.limit(fold_limit + 1).collect()]
-    if len(few) <= fold_limit:
-        return exclude_like(df, few)
-
-    anchored = _with_anchor(wanted)
+    asked = _asked(patterns.select("pattern").where("pattern is not null").distinct())
     name = F.col("table_name")
-    table_names = df.select(*key, "table_name", "dialect")
-
-    # Lower case on both sides is exact for MySQL and a necessary condition for PostgreSQL.
-    pieces = F.array_distinct(F.flatten(F.array(*[_pieces(F.lower(name), k) for k in range(1, _ANCHOR + 1)])))
-    by_text = (
-        table_names.withColumn("piece", F.explode(pieces))
-        .join(anchored.where("piece <> ''"), "piece")
-        .where(_like(name, F.col("pattern"), F.col("dialect")))
+    matched = (
+        df.select(*key, "table_name", "dialect").where("table_name is not null")
+        .withColumn("piece", F.explode(_offered(
+            _folded(name), F.length(F.when(F.col("dialect") == "mysql", _folded(name)).otherwise(name)))))
+        .join(asked, "piece")
+        .where(F.col("wild") | _like(name, F.col("pattern"), F.col("dialect")))
+        .select(*[F.col(k).alias(f"_{k}") for k in key]).distinct()
     )
-    bare = (anchored.where("piece = ''")
-            .select(F.length(F.replace("pattern", F.lit("%"), F.lit(""))).alias("size"),
-                    F.col("pattern").contains("%").alias("open")))
-    shortest = bare.where("open").agg(F.min("size")).first()[0]
-    by_size = table_names.withColumn("size", F.length(name)).join(
-        bare.where("not open").select("size").distinct(), "size")
-    matched = by_text.select(*key).unionByName(by_size.select(*key)).distinct()
-    rest = df if shortest is None else df.where(F.length(name) < shortest)
-    return rest.join(matched, list(key), "left_anti")
-
-
-def _pieces(text: Column, size: int) -> Column:
-    starts = F.when(F.length(text) >= size, F.sequence(F.lit(1), F.length(text) - (size - 1)))
-    return F.transform(F.coalesce(starts, F.array().cast("array<int>")), lambda at: F.substring(text, at, F.lit(size)))
-
-
-def _with_anchor(patterns: DataFrame) -> DataFrame:
-    """Add `piece`: the head of the longest literal run, in lower case ('' if there is none)."""
-    literal = F.split(F.regexp_replace(F.lower("pattern"), r"\\.", "%"), "[%_]")
-    runs = F.array_sort(F.transform(literal, lambda r: F.struct(-F.length(r), r.alias("run"))))
-    return patterns.withColumn("piece", F.substring(runs[0]["run"], 1, _ANCHOR))
+    met = reduce(lambda a, b: a & b, [F.col(k).eqNullSafe(F.col(f"_{k}")) for k in key])
+    return df.join(matched, met, "left_anti")
+
+
+# What a name and a pattern meet on: a literal run, an exact length, or a least length.
+_RUN, _EXACT, _LEAST = "=", "#", ">"
+_ESCAPED = "\uffff"
+
+
+def _offered(text: Column, size: Column) -> Column:
+    last = F.length(text)
+    none = F.array().cast("array<string>")
+    runs = F.flatten(F.transform(F.sequence(F.lit(1), last), lambda at: F.transform(
+        F.sequence(F.lit(1), last - at + 1), lambda n: F.concat(F.lit(_RUN), F.substring(text, at, n)))))
+    least = F.transform(F.sequence(F.lit(0), size), lambda n: F.concat(F.lit(_LEAST), n.cast("string")))
+    exact = F.array(F.concat(F.lit(_EXACT), size.cast("string")))
+    return F.concat(F.array_distinct(F.when(last > 0, runs).otherwise(none)), exact, least)
+
+
+def _asked(patterns: DataFrame) -> DataFrame:
+    """`patterns` with `piece` and `wild` (no literal text). Escaped characters are literal text."""
+    marked = F.regexp_replace("pattern", r"(?s)\\(.)", _ESCAPED + "$1")
+    literal = F.split(marked, f"(?<!{_ESCAPED})[%_]")
+    runs = F.transform(literal, lambda r: _folded(F.replace(r, F.lit(_ESCAPED), F.lit(""))))
+    longest = F.array_min(F.transform(runs, lambda r: F.struct((-F.length(r)).alias("less"), r.alias("run"))))["run"]
+    places = F.regexp_replace(marked, f"{_ESCAPED}.", "")
+    size = F.length(F.replace(places, F.lit("%"), F.lit(""))).cast("string")
+    wild = F.col("run") == ""
+    piece = F.when(~wild, F.concat(F.lit(_RUN), F.col("run"))).when(
+        F.col("open"), F.concat(F.lit(_LEAST), F.col("size"))).otherwise(F.concat(F.lit(_EXACT), F.col("size")))
+    return patterns.select("pattern", longest.alias("run"), size.alias("size"), places.contains("%").alias("open")).select(
+        "pattern", piece.alias("piece"), wild.alias("wild"))
 
 
 def by_type(df: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:

@@ -27,8 +27,8 @@ def ordered_values(position: Column, value: Column) -> Column:
 
 
 def positions_of(text: Column) -> Column:
-    """`2 1` as an array of numbers."""
-    return F.transform(F.split(text, " "), lambda t: t.cast("int"))
+    """`2 1` as an array of numbers; what is no number is null, and meets no column."""
+    return F.transform(F.split(text, " "), lambda t: t.try_cast("int"))
 
 
 # --- classes and namespaces -------------------------------------------------------------------

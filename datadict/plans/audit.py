@@ -16,6 +16,7 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from datadict.functions import texts
 from datadict.sources import lake
@@ -95,9 +96,15 @@ def _key_rows(df: DataFrame, c: Contract) -> DataFrame:
     return rows.select(*c.columns)
 
 
+def _hashed(df: DataFrame, c: Contract) -> list[Column]:
+    """The key columns with long texts replaced by their hashes; other values are as they are."""
+    return [lake.value_key(df.schema[n]).alias(n) if isinstance(df.schema[n].dataType, T.StringType) else F.col(n)
+            for n in c.columns]
+
+
 def key_counts(df: DataFrame, c: Contract) -> DataFrame:
-    """Key values with the number of rows that hold them."""
-    return _key_rows(df, c).groupBy(*c.columns).agg(F.count(F.lit(1)).alias("row_count"))
+    """Key values, long texts as hashes, with the number of rows that hold them."""
+    return _key_rows(df, c).select(*_hashed(df, c)).groupBy(*c.columns).agg(F.count(F.lit(1)).alias("row_count"))
 
 
 def _breaks_key(c: Contract) -> Column:
@@ -115,7 +122,14 @@ def key_report(df: DataFrame, c: Contract) -> DataFrame:
 
 
 def broken_keys(df: DataFrame, c: Contract) -> DataFrame:
-    return key_counts(df, c).where(_breaks_key(c))
+    """Offending key values. Whole texts are looked up for the offenders alone."""
+    bad = key_counts(df, c).where(_breaks_key(c))
+    if not any(isinstance(df.schema[n].dataType, T.StringType) for n in c.columns):
+        return bad
+    bad = bad.select(*[F.col(n).alias(f"_{n}") for n in c.columns], "row_count")
+    rows = _key_rows(df, c)
+    met = reduce(lambda a, b: a & b, [k.eqNullSafe(F.col(f"_{n}")) for n, k in zip(c.columns, _hashed(df, c))])
+    return rows.join(bad, met).select(*c.columns, "row_count").distinct()
 
 
 def _parent_keys(parent: DataFrame, c: Contract) -> DataFrame:

@@ -202,57 +202,69 @@ def postgres_ddl_inputs(rel: Mapping[str, DataFrame], base: DataFrame, key: Sequ
                      locate(indexes, base, key).select(*TABLE, "indexrelid", "indexdef"))
 
 
+# The words of a CREATE TABLE script.
+CREATE_OPEN, CREATE_CLOSE, INDENT = "CREATE TABLE ", ");", "    "
+IN_TABLE, IN_ENTRY = "unsafe table name", "unsafe name in a column or constraint"
+
+
+def _text(name: str) -> Column:
+    """A text input; one that is missing is empty, as the reader's default is."""
+    return texts.text_or_empty(F.col(name))
+
+
 def _column_entry() -> Column:
+    """Null only where the name is unsafe."""
     tail = F.when(F.col("generated").isNotNull(),
                   F.concat(F.lit(" GENERATED ALWAYS AS ("), F.col("generated"), F.lit(") STORED"))) \
         .otherwise(F.coalesce(F.concat(F.lit(" DEFAULT "), F.col("column_default")), F.lit("")))
-    return F.concat(F.lit("    "), names.quote(F.col("column_name"), "postgres"), F.lit(" "), F.col("data_type"),
+    return F.concat(F.lit(INDENT), names.quote(_text("column_name"), "postgres"), F.lit(" "), _text("data_type"),
                     F.when(F.col("is_nullable") == "YES", "").otherwise(" NOT NULL"), tail)
 
 
 def _constraint_entry() -> Column:
-    local = names.quote_list(F.col("local_columns"), "postgres")
+    """Null only where a name in it is unsafe."""
+    none = F.array().cast("array<string>")
+    local = names.quote_list(F.coalesce("local_columns", none), "postgres")
     target = F.concat(
-        names.quote(texts.text_or_empty(F.col("ref_schema")), "postgres"), F.lit("."),
-        names.quote(texts.text_or_empty(F.col("ref_table")), "postgres"), F.lit(" ("),
-        names.quote_list(F.col("ref_columns"), "postgres"), F.lit(")"))
+        names.quote(_text("ref_schema"), "postgres"), F.lit("."), names.quote(_text("ref_table"), "postgres"), F.lit(" ("),
+        names.quote_list(F.coalesce("ref_columns", none), "postgres"), F.lit(")"))
     kind = F.col("contype")
     body = (
         F.when(kind == "p", F.concat(F.lit("PRIMARY KEY ("), local, F.lit(")")))
         .when(kind == "u", F.concat(F.lit("UNIQUE ("), local, F.lit(")")))
         .when(kind == "f", F.concat(F.lit("FOREIGN KEY ("), local, F.lit(") REFERENCES "), target,
-                                    F.lit(" ON DELETE "), F.col("delete_action"),
-                                    F.lit(" ON UPDATE "), F.col("update_action")))
-        .when(kind == "c", F.concat(F.lit("CHECK ("), definitions.check_body(F.col("condef")), F.lit(")")))
+                                    F.lit(" ON DELETE "), _text("delete_action"),
+                                    F.lit(" ON UPDATE "), _text("update_action")))
+        .when(kind == "c", F.concat(F.lit("CHECK ("), definitions.check_body(_text("condef")), F.lit(")")))
+        .otherwise("")
     )
-    return F.concat(F.lit("    CONSTRAINT "), names.quote(F.col("conname"), "postgres"), F.lit(" "), body)
+    return F.concat(F.lit(f"{INDENT}CONSTRAINT "), names.quote(_text("conname"), "postgres"), F.lit(" "), body)
 
 
 def create_table_lines(inputs: DdlInputs) -> tuple[DataFrame, DataFrame]:
-    """(lines of CREATE TABLE scripts, tables that have none because a name in them is unsafe).
+    """(lines of CREATE TABLE scripts, tables that have none with the `reason`).
 
-    The separator needs to know the last entry of a table; that is a maximum per table, joined back
-    on the entry's full key, which no two entries share.
+    One aggregation per table tells its last entry, which takes no comma, and whether an entry holds
+    an unsafe name. It is joined to the tables once; entries and indexes meet the tables that are left.
     """
     entries = lines(inputs.columns, TABLES, _column_entry(), ENTRY_COLUMN, item=F.col("ordinal_position")) \
         .unionByName(lines(inputs.constraints, TABLES, _constraint_entry(), ENTRY_CONSTRAINT,
-                           item=relations.constraint_rank(F.col("contype")), item_name=F.col("conname")))
-    last = (
-        entries.groupBy(*TABLE).agg(F.max(F.struct(*_ENTRY_KEY)).alias("k"))
-        .select(*TABLE, "k.*", F.lit(True).alias("_last"))
-    )
-    separated = entries.join(last, [*TABLE, *_ENTRY_KEY], "left").withColumn(
-        "line", F.concat("line", F.when(F.col("_last"), "").otherwise(","))).select(*LINE)
-    title = F.concat(F.lit("CREATE TABLE "), names.quote(F.col("schema_name"), "postgres"), F.lit("."),
+                           item=relations.constraint_rank(F.col("contype")), item_name=_text("conname")))
+    entry_key = F.struct(*_ENTRY_KEY)
+    seen = entries.groupBy(*TABLE).agg(F.max(entry_key).alias("last"), F.bool_or(F.col("line").isNull()).alias("bad"))
+    title = F.concat(F.lit(CREATE_OPEN), names.quote(F.col("schema_name"), "postgres"), F.lit("."),
                      names.quote(F.col("table_name"), "postgres"), F.lit(" ("))
-    frame = block_lines(inputs.tables, TABLES, _fixed((OPEN, title), (CLOSE, ");")))
-    empty = lines(inputs.tables.join(last, list(TABLE), "left_anti"), TABLES, F.lit(""), EMPTY)
-    index_texts = lines(inputs.indexes.where("indexdef <> ''"), TABLES,
+    reason = F.when(title.isNull(), IN_TABLE).when(F.col("bad"), IN_ENTRY)
+    marked = inputs.tables.join(seen, list(TABLE), "left").withColumn("reason", reason)
+    failed = marked.where("reason is not null").select(*TABLE, "reason")
+    good = marked.where("reason is null")
+    frame = block_lines(good, TABLES, _fixed((OPEN, title), (CLOSE, CREATE_CLOSE)))
+    empty = lines(good.where("last is null"), TABLES, F.lit(""), EMPTY)
+    separated = entries.join(good.select(*TABLE, "last"), list(TABLE)).withColumn(
+        "line", F.concat("line", F.when(entry_key == F.col("last"), "").otherwise(","))).select(*LINE)
+    index_texts = lines(inputs.indexes.where("indexdef <> ''").join(good.select(*TABLE), list(TABLE), "left_semi"), TABLES,
                         F.concat("indexdef", F.lit(";")), INDEX_TEXT, item=F.col("indexrelid"))
-    failed = entries.where("line is null").select(*TABLE).unionByName(
-        frame.where("line is null").select(*TABLE)).distinct()
-    script = _union([frame, empty, separated, index_texts]).join(failed, list(TABLE), "left_anti")
-    return script.select(*LINE), failed
+    return _union([frame, empty, separated, index_texts]).select(*LINE), failed
 
 
 # --- SQL scripts --------------------------------------------------------------------------------

@@ -130,7 +130,7 @@ VIEWS = {
     "cat_views": View("documents", (
         "doc_id as oid",
         "concat('select ', case when doc_id % 3 = 0 then '```' when doc_id % 5 = 0 then '`' else '' end,"
-        " substr(text, 1, 40), case when doc_id % 2 = 0 then chr(10) else '' end) as view_query",
+        " text, case when doc_id % 2 = 0 then chr(10) else '' end) as view_query",
     )),
     "cat_log": View("events", (
         "event_id", "ts", "event_type as schema_name",

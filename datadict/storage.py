@@ -1,24 +1,40 @@
-"""Data kept between jobs of one build: in the shared folder the cluster names, never on one machine."""
+"""Data kept between jobs of one build, in the shared folder that the cluster names."""
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+_paths: list[tuple[SparkSession, str]] = []
+
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder named by `spark.checkpoint.dir`; one of our own only where none is set, as in tests."""
+    """The folder named by `spark.checkpoint.dir`.
+
+    Where none is set, a local master gets a folder of its own, which goes when the process ends. On
+    a cluster that would be one machine's disk, so there the setting is required.
+    """
     context = spark.sparkContext
     if context.getCheckpointDir() is None:
-        context.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="datadict-"))
+        named = spark.conf.get("spark.checkpoint.dir", None)
+        if named is None:
+            if not context.master.startswith("local") or context.master.startswith("local-cluster"):
+                raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+            named = tempfile.mkdtemp(prefix="datadict-")
+            atexit.register(shutil.rmtree, named, ignore_errors=True)
+        context.setCheckpointDir(named)
     return context.getCheckpointDir()
 
 
 def place(spark: SparkSession, name: str) -> str:
     """A new path in the shared folder."""
-    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    _paths.append((spark, path))
+    return path
 
 
 def pin(df: DataFrame) -> DataFrame:
@@ -32,3 +48,14 @@ def store(df: DataFrame, name: str) -> DataFrame:
     path = place(df.sparkSession, name)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def release(spark: SparkSession) -> None:
+    """Remove all that this process has placed in the shared folder; call it when a build's results are written."""
+    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs
+    configuration = spark.sparkContext._jsc.hadoopConfiguration()
+    for owner, path in list(_paths):
+        if owner is spark:
+            where = hadoop.Path(path)
+            where.getFileSystem(configuration).delete(where, True)
+            _paths.remove((owner, path))

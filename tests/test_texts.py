@@ -1,5 +1,6 @@
 """Text rules on fixed rows, and as properties over generated rows."""
 
+import random
 import re
 
 import pytest
@@ -53,40 +54,43 @@ def test_spark_types():
         types.spark_type("numeric(50,2)")
 
 
-INDEX_ROWS = [
-    ("CREATE INDEX i ON t USING btree (name)", False, "name", None),
-    ("CREATE UNIQUE INDEX i ON t USING btree (email, tenant_id)", True, "email, tenant_id", None),
-    ("create unique index i on t using btree (a, b DESC)", True, "a, b", None),
-    ("CREATE INDEX i ON t USING hash (order_id)", False, "order_id", None),
-    ("CREATE INDEX i ON t USING btree (created_at DESC)", False, "created_at", None),
-    ("CREATE INDEX i ON t USING btree (score DESC NULLS LAST)", False, "score", None),
-    ("CREATE INDEX i ON t USING btree (priority ASC NULLS FIRST)", False, "priority", None),
-    ("CREATE INDEX i ON t USING btree (lower(name))", False, "lower(name)", None),
-    ("CREATE INDEX i ON t USING gin (tags)", False, "tags", None),
-    ("", False, "", None),
-    ("CREATE INDEX i ON t", False, "", None),
-    ("CREATE INDEX i ON t USING btree (a", False, "", None),
-    ("CREATE INDEX i ON t USING btree ()", False, "", None),
-    ("CREATE INDEX i ON t USING btree (a, )", False, "a, ", None),
-    ("CREATE INDEX i ON t USING btree (a,)", False, "a", None),
-    ("CREATE INDEX i ON t USING btree (email) WHERE (active = true)", False, "email", "(active = true)"),
-    ("CREATE INDEX i ON t USING btree (col) where deleted_at is null", False, "col", "deleted_at is null"),
-    ("CREATE UNIQUE INDEX i ON t (col) WHERE (a > 0 AND b < 10)", True, "col", "(a > 0 AND b < 10)"),
-    ("CREATE INDEX i ON t USING btree (lower(name)) WHERE name IS NOT NULL", False, "lower(name)", "name IS NOT NULL"),
-    ("CREATE INDEX i ON t USING btree (col) WHERE   x > 0   ", False, "col", "x > 0"),
-    ("CREATE INDEX i ON t USING btree (col) WHERE   ", False, "col", None),
-    ("CREATE INDEX i ON t USING btree (f(a, (b)), c) WHERE g(x, y)", False, "f(a, (b)), c", "g(x, y)"),
-    # A clause between the key list and the predicate does not hide the predicate.
-    ("CREATE INDEX i ON t USING btree (a) INCLUDE (b) WITH (fillfactor='70') WHERE (c = 1)", False, "a", "(c = 1)"),
-    ("CREATE INDEX i ON t USING btree (a) INCLUDE (\"WHERE x\")", False, "a", None),
-    ("CREATE INDEX 색인 ON 표 USING btree (이름 DESC, 😀) WHERE (이름 > '😀')", False, "이름, 😀", "(이름 > '😀')"),
-]
+def made_index(rng):
+    """An index definition put together from its parts, and what must be read from it."""
+    def term(depth):
+        kind = rng.randrange(4 if depth else 2)
+        if kind < 2:
+            return rng.choice(["shelf_no", "q", "weight_kg", '"Mixed, Case"', "길이", "k2"])
+        inner = ", ".join(term(depth - 1) for _ in range(rng.randrange(1, 3)))
+        return f"({inner})" if kind == 2 else f"round_up({inner})"
+
+    terms = [t for t in (term(3) for _ in range(rng.randrange(1, 5))) if "Mixed" not in t] or ["q"]
+    order = ["", " DESC", " ASC", " NULLS LAST", " DESC NULLS FIRST", " asc nulls last"]
+    unique = rng.random() < 0.4
+    head = rng.choice(["CREATE UNIQUE INDEX", "create unique index"] if unique else ["CREATE INDEX", "Create Index"])
+    method = rng.choice(["", " USING brin", " USING spgist", " using btree"])
+    extra = rng.choice(["", " INCLUDE (weight_kg, k2)", " WITH (pages_per_range='8')", " INCLUDE (q) WITH (fillfactor='55')"])
+    rule = rng.choice([None, "(q > 7)", "k2 IS NULL", "round_up(q, (3)) < weight_kg", "(note = '😀 where')"])
+    tail = "" if rule is None else f"{rng.choice([' WHERE ', ' where ', ' WHERE   '])}{rule}{rng.choice(['', '  '])}"
+    ordered = [t + rng.choice(order) for t in terms]
+    # Sort words go after a column; an expression is kept as it is written.
+    read = [o if "(" in t else t for t, o in zip(terms, ordered)]
+    return f"{head} n{rng.randrange(99)} ON depot.crates{method} ({', '.join(ordered)}){extra}{tail}", unique, ", ".join(read), rule
 
 
 def test_index_definitions(spark):
-    df = spark.createDataFrame([(i, r[0]) for i, r in enumerate(INDEX_ROWS)], "i int, indexdef string")
+    rng = random.Random(11)
+    rows = [made_index(rng) for _ in range(400)]
+    df = spark.createDataFrame([(i, r[0]) for i, r in enumerate(rows)], "i int, indexdef string")
     got = definitions.with_index_parts(df).orderBy("i").collect()
-    assert [(r["indexdef"], r["is_unique"], r["index_columns"], r["predicate"]) for r in got] == INDEX_ROWS
+    assert [(r["indexdef"], r["is_unique"], r["index_columns"], r["predicate"]) for r in got] == rows
+
+
+def test_broken_index_definitions(spark):
+    """No list, an unclosed list or an empty one: no columns, and never an error."""
+    rows = ["", "CREATE", "CREATE INDEX n ON crates", "CREATE INDEX n ON crates (q, k2", "CREATE INDEX n ON crates ()"]
+    df = spark.createDataFrame([(i, r) for i, r in enumerate(rows)], "i int, indexdef string")
+    got = definitions.with_index_parts(df).orderBy("i").collect()
+    assert [(r["is_unique"], r["index_columns"], r["predicate"]) for r in got] == [(False, "", None)] * len(rows)
 
 
 def test_fk_actions(evaluate):
