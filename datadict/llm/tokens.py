@@ -3,9 +3,12 @@
 from __future__ import annotations
 
 import os
+import re
+from array import array
+from collections.abc import Iterator
 
 TOKENIZER = "word_bpe_49k.json"
-CACHED_PARTS = 400_000
+CACHED_PARTS = 600_000
 LONGEST_CACHED = 48
 
 
@@ -16,11 +19,18 @@ def default_tokenizer() -> str:
     return public_tokenizers.path(TOKENIZER)
 
 
+# Texts of these characters alone hold no combining marks, so lower case may come before composition;
+# `<|` could become a special token's string.
+_NOT_PLAIN = re.compile("[^\x00-\u012f\u0131-\u024f]|<\\|")
+
+
 def id_encoder(path: str | None):
     """A function from texts to their ids as little-endian unsigned 32-bit bytes.
 
     The tokenizer drops white space and never merges across it, so the ids of a text are those of
-    its parts between blanks. Parts are encoded once while they stay in the cache.
+    its parts between blanks. Parts are encoded once while they stay in the cache. A full stop or comma
+    after a letter is a word of its own. Words of letters are encoded together, and told apart by the
+    tokens that end a word.
     """
     os.environ["TOKENIZERS_PARALLELISM"] = "false"
     import numpy as np
@@ -28,21 +38,59 @@ def id_encoder(path: str | None):
 
     tokenizer = Tokenizer.from_file(path or default_tokenizer())
     encode_all = getattr(tokenizer, "encode_batch_fast", tokenizer.encode_batch)
+    ends_word = np.zeros(tokenizer.get_vocab_size() + 1, bool)
+    for token, i in tokenizer.get_vocab().items():
+        ends_word[i] = token.endswith("</w>")
     cache: dict[str, bytes] = {}
 
+    def one_by_one(parts: list[str]) -> Iterator[bytes]:
+        for found in encode_all(parts, add_special_tokens=False):
+            yield array("I", found.ids).tobytes()
+
+    def together(words: list[str]) -> list[bytes]:
+        ids = np.array(encode_all([" ".join(words)], add_special_tokens=False)[0].ids, dtype="<u4")
+        ends = 4 * (np.flatnonzero(ends_word[ids]) + 1)
+        if len(ends) != len(words):
+            return list(one_by_one(words))
+        held, ends = ids.tobytes(), [0, *ends.tolist()]
+        return [held[a:b] for a, b in zip(ends, ends[1:])]
+
+    def parts_of(text: str) -> list[str]:
+        if not _NOT_PLAIN.search(text):
+            text = text.lower()
+        return text.replace("\n", " ").replace("\t", " ").replace("\r", " ").split(" ")
+
+    def learn(missing: set[str]) -> None:
+        words, others, stopped = set(), [], []
+        for p in missing:
+            plain = not _NOT_PLAIN.search(p)
+            if plain and p.isalpha():
+                words.add(p)
+            elif plain and p[-1:] in (".", ",") and p[:-1].isalpha():
+                stopped.append(p)
+            else:
+                others.append(p)
+        words.update(p[:-1] for p in stopped)
+        words = list(words.difference(cache))
+        cache.update(zip(words, together(words)))
+        cache.update(zip(others, one_by_one(others)))
+        for p in stopped:
+            cache[p] = cache[p[:-1]] + cache[p[-1]]
+
+    cache.update(zip((".", ","), one_by_one([".", ","])))
+    marks = dict(cache)
+
     def encode(texts: list[str]) -> list[bytes]:
-        split = [t.replace("\n", " ").replace("\t", " ").replace("\r", " ").split(" ") for t in texts]
+        split = [parts_of(t) for t in texts]
         if len(cache) > CACHED_PARTS:
             cache.clear()
-        missing = list({p for parts in split for p in parts}.difference(cache))
-        ids = encode_all(missing, add_special_tokens=False)
-        new = {p: np.array(e.ids, dtype="<u4").tobytes() for p, e in zip(missing, ids)}
-        known = cache | new if len(new) > CACHED_PARTS else cache
-        known.update(new)
-        out = [b"".join(map(known.__getitem__, parts)) for parts in split]
+            cache.update(marks)
+        missing = set().union(*split).difference(cache)
+        learn(missing)
+        out = [b"".join(map(cache.__getitem__, parts)) for parts in split]
         for p in missing:
             if len(p) > LONGEST_CACHED:
-                known.pop(p, None)
+                cache.pop(p, None)
         return out
 
     return encode
