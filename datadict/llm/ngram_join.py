@@ -9,9 +9,10 @@ n-grams. Two rows link when 100 * overlap >= percent * union. The product is not
 * The shared columns are dealt to blocks. Every row carries the parities of its entries in a fixed
   number of cells. The number of cells that differ is at most the number of n-grams in one row only,
   so a pair whose difference exceeds what the two sizes allow is discarded without its sets.
-* A first round compares each row of a column with one leader. Rows that link are one component, and
-  the second round takes only pairs of different components, so large groups of near copies do not
-  become pairs. Columns with many rows are cut into blocks of bounded size.
+* A first round compares each row of a column with one leader, a second one with the row of another
+  component whose parities are nearest. Rows that link are one component, and the last round takes all
+  pairs of different components, so large groups of near copies do not become pairs. Columns with many
+  rows are cut into blocks of bounded size.
 * For the pairs that are left the overlap is counted over the whole sets.
 
 Components are therefore those of all links. Rows are named by a 64-bit hash of their set.
@@ -41,6 +42,7 @@ COUNTER_PARTS = 64
 FAN_IN = 1024
 BLOCK_ROWS = 2048
 PAIR_BATCH = 256
+LEADER, NEAREST, ALL = "leader", "nearest", "all"
 
 
 @dataclass(frozen=True)
@@ -186,15 +188,27 @@ def _shared(entries: DataFrame, bound: Bound) -> DataFrame:
         run, "column bigint, row bigint, n bigint")
 
 
-def _candidates(members: DataFrame, bound: Bound, leaders: bool) -> DataFrame:
+def _candidates(members: DataFrame, bound: Bound, take: str) -> DataFrame:
     """Pairs of rows of different components that share a column, fit in size and may overlap enough.
 
     `members`: column, row, n, cells, component, and `lo`, `hi`, `side`: the block and the part of the
-    column a row comes from. With `leaders` each row is compared with one row of its block only.
+    column a row comes from. `take` is LEADER (each row with one row of its block), NEAREST (each row with
+    the one that it may overlap most) or ALL.
     """
-    percent = bound.percent
+    percent, leaders = bound.percent, take == LEADER
 
     def pairs(rows: list[tuple], diagonal: bool) -> Iterator[tuple[int, int]]:
+        met = fitting(rows, diagonal)
+        if take != NEAREST:
+            return ((a, b) for a, b, _ in met)
+        best: dict[int, tuple[int, int, int]] = {}
+        for a, b, excess in met:
+            for row in (a, b):
+                if row not in best or (excess, a, b) < best[row]:
+                    best[row] = (excess, a, b)
+        return ((a, b) for _, a, b in best.values())
+
+    def fitting(rows: list[tuple], diagonal: bool) -> Iterator[tuple[int, int, int]]:
         rows.sort()
         sizes = [r[0] for r in rows]
         if leaders:
@@ -216,8 +230,9 @@ def _candidates(members: DataFrame, bound: Bound, leaders: bool) -> DataFrame:
                 while narrow > wide:
                     narrow //= 2
                     mine = (mine ^ mine >> narrow) & ((1 << narrow) - 1)
-                if (mine ^ more).bit_count() * (100 + percent) <= (n + m) * (100 - percent):
-                    yield (row, other) if row < other else (other, row)
+                excess = (mine ^ more).bit_count() * (100 + percent) - (n + m) * (100 - percent)
+                if excess <= 0:
+                    yield (row, other, excess) if row < other else (other, row, excess)
 
     def run(batches: Iterator) -> Iterator:
         import pyarrow as pa
@@ -328,15 +343,14 @@ def joined(documents: DataFrame, bound: Bound = Bound(), doc_id: str = "doc_id",
     shared = scratch.store(_shared(classes.select("row", "n", F.explode("columns").alias("column")), bound), "shared")
     blocks = scratch.store(_blocks(shared), "blocks")
     cells = classes.select("row", "cells")
-    first = scratch.store(_candidates(
-        blocks.join(cells, "row").withColumn("component", F.col("row")), bound, leaders=True), "leaders")
-    links = _linked(first, classes, docs, bound, scratch)
-    found = scratch.store(components(links, scratch), "found")
-    named = classes.select("row", "cells").join(found.withColumnRenamed("node", "row"), "row", "left").select(
-        "row", "cells", F.coalesce("root", "row").alias("component"))
-    second = scratch.store(_candidates(blocks.join(named, "row"), bound, leaders=False), "second")
-    more = _linked(second, classes, docs, bound, scratch)
-    found = scratch.store(components(links.union(more), scratch), "found")
+    named, links = cells.withColumn("component", F.col("row")), None
+    for take in (LEADER, NEAREST, ALL):
+        pairs = scratch.store(_candidates(blocks.join(named, "row"), bound, take), "pairs")
+        more = _linked(pairs, classes, docs, bound, scratch)
+        links = more if links is None else links.union(more)
+        found = scratch.store(components(links, scratch), "found")
+        named = cells.join(found.withColumnRenamed("node", "row"), "row", "left").select(
+            "row", "cells", F.coalesce("root", "row").alias("component"))
     smallest = found.join(classes.select(F.col("row").alias("node"), "id"), "node").groupBy("root").agg(
         F.min("id").alias("component_id"))
     named = found.join(smallest, "root").select(F.col("node").alias("row"), "component_id")
