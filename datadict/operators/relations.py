@@ -10,7 +10,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from datadict.functions import definitions
@@ -154,8 +154,10 @@ def foreign_keys(usage: DataFrame, rules: DataFrame, key: Sequence[str] = OID, s
                  part_size: int = PART_SIZE) -> DataFrame:
     """One row per foreign key: column lists in order and the reference of the first pair.
 
-    Lists are built before the rules are joined, so the join sees constraints and not columns.
+    Lists are built before the rules are joined, so the join sees constraints and not columns. A list
+    longer than a part has the reference of the constraint's first pair in every part.
     """
+    parts = Window.partitionBy(*key, "constraint_name").orderBy("part_no")
     pair = F.struct(F.col("ordinal_position").alias("at"), F.col("column_name").alias("local"),
                     F.col("referenced_table_name").alias("ref_table"),
                     F.col("referenced_column_name").alias("ref_column"))
@@ -167,6 +169,7 @@ def foreign_keys(usage: DataFrame, rules: DataFrame, key: Sequence[str] = OID, s
         .withColumn("ref_columns", F.col("pairs.ref_column"))
         .withColumn("constraint_column", F.array_join("columns", separator))
         .withColumn("reference", F.concat(F.col("pairs")[0]["ref_table"], F.lit("."), F.col("pairs")[0]["ref_column"]))
+        .withColumn("reference", F.first("reference").over(parts))
         .drop("pairs")
     )
     return listed.join(rules, _rule_key(rules)).withColumnsRenamed(

@@ -105,6 +105,18 @@ def test_long_lists_go_on_in_parts(spark):
     assert ",".join(r["index_columns"] for r in got) == ",".join(f"c{i}" for i in range(1, 26))
 
 
+def test_every_part_of_a_long_foreign_key_has_its_reference(spark):
+    usage = spark.range(1, 26).select(
+        F.lit(1).alias("oid"), F.lit("fk").alias("constraint_name"), F.concat(F.lit("c"), "id").alias("column_name"),
+        F.col("id").cast("int").alias("ordinal_position"), F.lit("t").alias("referenced_table_name"),
+        F.concat(F.lit("r"), "id").alias("referenced_column_name"))
+    rules = spark.createDataFrame([("fk", "CASCADE", "NO ACTION")],
+                                  "constraint_name string, delete_rule string, update_rule string")
+    got = rel.foreign_keys(usage, rules, part_size=10).orderBy("part_no").collect()
+    assert [(r["part_no"], r["reference"]) for r in got] == [(0, "t.r1"), (1, "t.r1"), (2, "t.r1")]
+    assert ", ".join(r["constraint_column"] for r in got) == ", ".join(f"c{i}" for i in range(1, 26))
+
+
 def test_column_numbers_close_gaps(spark):
     df = spark.createDataFrame([(1, 2, "a"), (1, 5, "b"), (1, 9000, "c"), (2, 3, "x")],
                                "oid long, ordinal_position int, name string")
