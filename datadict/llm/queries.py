@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import corpus_pipeline
 from datadict.llm import (
+    conversations,
     fingerprints,
     html_extract,
     licenses,
@@ -72,3 +73,8 @@ def op10_edited_token_counts(spark, sf_dir):
 @query("op6_license_scan")
 def op6_license_scan(spark, sf_dir):
     return licenses.license_scan(licenses.with_paths(table(spark, sf_dir, "documents")))
+
+
+@query("op13_conversation_repair")
+def op13_conversation_repair(spark, sf_dir):
+    return conversations.repaired_conversations(table(spark, sf_dir, "conversations"))
