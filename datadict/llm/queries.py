@@ -9,6 +9,7 @@ from datadict.llm import (
     html_extract,
     licenses,
     line_dedup,
+    merkle,
     mixing,
     ngram_join,
     packing,
@@ -78,3 +79,8 @@ def op6_license_scan(spark, sf_dir):
 @query("op13_conversation_repair")
 def op13_conversation_repair(spark, sf_dir):
     return conversations.repaired_conversations(table(spark, sf_dir, "conversations"))
+
+
+@query("op12_merkle_manifest", merkle.sql())
+def op12_merkle_manifest(spark, sf_dir):
+    return merkle.verified_documents(table(spark, sf_dir, "documents"))
