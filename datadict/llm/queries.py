@@ -14,6 +14,7 @@ from datadict.llm import (
     ngram_join,
     packing,
     quality,
+    simhash,
     substring,
     token_counts,
 )
@@ -84,3 +85,8 @@ def op13_conversation_repair(spark, sf_dir):
 @query("op12_merkle_manifest", merkle.sql())
 def op12_merkle_manifest(spark, sf_dir):
     return merkle.verified_documents(table(spark, sf_dir, "documents"))
+
+
+@query("op11_simhash")
+def op11_simhash(spark, sf_dir):
+    return simhash.near_duplicates(table(spark, sf_dir, "documents"))
