@@ -148,8 +148,8 @@ def manifest(leaves: DataFrame, group: str, order: Sequence[str], keep: Sequence
     """Blocks of leaves (group, block, size, members, nodes) with `path` above them, `subroot` and `root`."""
     name = F.coalesce(F.concat(F.lit("="), F.col(f"`{group}`").cast("string")), F.lit(""))  # null first
     trees = tree(leaves.withColumn("_group", name), "_group", order, keep=keep)
-    subroots = store(trees.roots, "subroots")
-    every = tree(subroots.select(F.lit("").alias("all"), F.col("group").alias("name"), "digest"), "all", ["name"], keep=["name"])
+    subroots = store(trees.roots.select(F.lit("").alias("all"), F.col("group").alias("name"), "digest"), "subroots")
+    every = tree(subroots, "all", ["name"], keep=["name"])
     empty = F.array().cast(_PATH)
     root = every.roots.select("group", F.col("digest").alias("root"), empty.alias("path"))
     above = with_paths(every, root)
