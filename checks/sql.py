@@ -141,3 +141,30 @@ d_views as (
   select {TABLE}, view_query, case dialect when 'mysql' then 'utf8mb4' else '' end as charset,
          case dialect when 'mysql' then 'utf8mb4_general_ci' else '' end as collation
   from cat_views v join located t on t.oid = v.oid where table_type = 'VIEW')"""
+
+
+def dumped_dictionary() -> str:
+    """The same dictionary of dumped relations: with their faults decoded, and numbers that hold inside a server."""
+    views, rest = dictionary().split(",\nlocated as", 1)
+    for name in ("cat_tables", "fleet_tables", "cat_columns", "cat_indexes", "cat_statistics", "cat_constraints"):
+        rest = rest.replace(f"from {name} ", f"from dump_{name} ").replace(f"join {name} ", f"join dump_{name} ")
+    rest = rest.replace("from cat_indexes)", "from dump_cat_indexes)")
+    # A dump's index is matched with a constraint of its own table.
+    backed = ("from dump_cat_indexes i where not exists (select 1 from cat_constraints k where k.contype = 'p'"
+              " and k.oid = i.oid and k.conname = i.index_name)) i")
+    start = rest.index("from cat_indexes\n        where index_name not in")
+    end = rest.index(") i\n  join base_pg", start) + len(") i")
+    rest = rest[:start] + backed + rest[end:]
+    return f"""{views},
+dump_fleet_tables as (
+  select * replace (case when source_id = 'src2' then null else table_comment end as table_comment) from fleet_tables),
+dump_cat_columns as (
+  select * replace (case when oid % 4 in (0, 1) and oid % 13 = 0 then 0 else char_max_length end as char_max_length,
+                    case when oid % 4 = 1 then null else numeric_scale end as numeric_scale) from cat_columns),
+dump_cat_indexes as (
+  select * replace (case when indisprimary then concat('con_', cast(oid as varchar)) else index_name end as index_name)
+  from cat_indexes),
+dump_cat_statistics as (
+  select * replace (case when oid % 11 = 0 then 1 else non_unique end as non_unique) from cat_statistics),
+dump_cat_constraints as (select * replace (confrelid * 4 + oid % 4 as confrelid) from cat_constraints),
+located as{rest}"""

@@ -7,13 +7,14 @@ oracle read the same definition. Three views number the rows of a group; Spark d
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator, Mapping
+from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from datadict.operators.ordered import number_rows
+from datadict.sources.dumps import Relations
 from datadict.storage import store
 
 TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events",
@@ -181,25 +182,6 @@ SHOW_CREATE_SELECT = (
 )
 
 
-class Relations(Mapping):
-    """Relations by name, each planned when it is first used."""
-
-    def __init__(self, **build: Callable[[], DataFrame]):
-        self._build = build
-        self._made: dict[str, DataFrame] = {}
-
-    def __getitem__(self, name: str) -> DataFrame:
-        if name not in self._made:
-            self._made[name] = self._build[name]()
-        return self._made[name]
-
-    def __iter__(self) -> Iterator[str]:
-        return iter(self._build)
-
-    def __len__(self) -> int:
-        return len(self._build)
-
-
 class Catalog:
     """The given tables of one directory and the catalog views over them, as DataFrames."""
 
@@ -260,7 +242,7 @@ class Catalog:
         rule = IS_POSTGRES if dialect == "postgres" else f"not ({IS_POSTGRES})"
         return self._once(f"{dialect} {name}", lambda: self.view(name).where(rule))
 
-    def mysql(self) -> "Relations":
+    def mysql(self) -> Relations:
         """The dump relations of the MySQL servers, keyed by `oid`."""
         return Relations(
             tables=lambda: self.fleet_tables().where("dialect = 'mysql'"),
@@ -271,7 +253,7 @@ class Catalog:
             show_create=lambda: self.of_dialect("cat_views", "mysql").selectExpr(*SHOW_CREATE_SELECT),
         )
 
-    def postgres(self) -> "Relations":
+    def postgres(self) -> Relations:
         """The dump relations of the PostgreSQL servers, keyed by `oid`."""
         return Relations(
             tables=lambda: self.fleet_tables().where("dialect = 'postgres'"),

@@ -149,5 +149,50 @@ def test_partitioned_root_names_its_sources(spark, tmp_path):
 
 def test_jdbc_partitions_are_quoted():
     assert dumps.jdbc_predicates(["a", "o'b"]) == ["schema_name = 'a'", "schema_name = 'o''b'"]
-    for dialect, queries in dumps.JDBC_QUERIES.items():
-        assert set(queries) <= set(schemas.RELATIONS[dialect])
+
+
+def test_jdbc_has_every_relation_of_a_dialect():
+    for dialect, relations in schemas.RELATIONS.items():
+        assert set(dumps.JDBC_QUERIES[dialect]) == set(relations)
+        for name, text in dumps.JDBC_QUERIES[dialect].items():
+            for f in relations[name].fieldNames():
+                assert f == "source_id" or f in text, (name, f)
+
+
+@pytest.mark.parametrize("least, most, parts", [(1, 1, 16), (10, 25, 4), (16384, 99999, 16), (5, 7, 16)])
+def test_oid_ranges_cover_each_number_once(spark, least, most, parts):
+    split = dumps.oid_predicates("oid", least, most, parts)
+    assert len(split) == min(parts, most - least + 1)
+    numbers = sorted({0, least - 1, least, least + 1, (least + most) // 2, most, most + 1, 1 << 40})
+    df = spark.createDataFrame([(n,) for n in numbers], "oid long")
+    hits = df.select("oid", sum(F.expr(p).cast("int") for p in split).alias("hits"))
+    assert {r["oid"]: r["hits"] for r in hits.collect()} == dict.fromkeys(numbers, 1)
+    inside = [p for p in split for n in range(least, min(most, least + 200) + 1) if eval(p.replace("oid", str(n)).replace("1 = 1", "True"))]
+    assert len(inside) == min(most, least + 200) - least + 1
+
+
+def test_jdbc_splits():
+    run = dumps.JdbcRun("jdbc:postgresql://none", "PostgreSQL", "p", schema_names=("public",), parts=2)
+    assert dumps.jdbc_split(run, "tables", None) == ["schema_name = 'public'"]
+    assert dumps.jdbc_split(run, "views", (1, 4)) == ["schema_name = 'public'"]
+    assert dumps.jdbc_split(run, "pg_attribute", (1, 4)) == ["attrelid < 3", "attrelid >= 3"]
+    assert dumps.jdbc_split(run, "pg_constraint", (1, 4)) == ["conrelid < 3", "conrelid >= 3"]
+    assert dumps.jdbc_split(run, "pg_database", (1, 4)) == dumps.jdbc_split(run, "schemata", (1, 4)) == []
+    assert dumps.jdbc_split(dumps.JdbcRun("u", "mysql", "m"), "columns", None) == []
+
+
+def test_csv_tells_null_from_empty_text(spark, tmp_path):
+    rows = [(1, None, "x"), (2, "", None), (3, " a ", ""), (4, 'q"\\"', "line\nbreak, \\N"), (5, "\\", "''")]
+    df = spark.createDataFrame(rows, "id int, A string, b string")
+    df.select("b", "id", "A").write.options(**dumps.CSV_OPTIONS).csv(str(tmp_path / "c"))
+    got = dumps.read_csv(spark, str(tmp_path / "c"))
+    assert got.columns == ["b", "id", "A"]
+    assert sorted(tuple(r) for r in got.select("id", "A", "b").collect()) == [(str(i), a, b) for i, a, b in rows]
+
+
+def test_json_names_in_any_case(spark, tmp_path):
+    (tmp_path / "schemata").mkdir()
+    (tmp_path / "schemata" / "a.json").write_text('{"SCHEMA_NAME": "x", "other": [1]}\n{"schema_name": "y"}\n{}\n')
+    run = dumps.DumpRun("mysql", {"s": str(tmp_path)}, "json")
+    assert sorted((tuple(r) for r in dumps.read_relation(spark, run, "schemata").collect()), key=str) == [
+        ("s", "x"), ("s", "y"), ("s", None)]
