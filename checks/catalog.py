@@ -428,7 +428,7 @@ def _flat_records(records: DataFrame, *keep: str) -> DataFrame:
 
 
 @check("jon_10_records", RECORD_SQL + """
-select t.source_id, t.schema_name, t.table_name, t.table_type, 0 as record_part, v.view_query,
+select t.source_id, t.schema_name, t.table_name, t.table_type, v.view_query,
   coalesce(n_columns, 0) as n_columns, columns, coalesce(n_indexes, 0) as n_indexes, indexes,
   coalesce(n_foreign_keys, 0) as n_foreign_keys, foreign_keys
 from d_tables t left join d_views v using (source_id, schema_name, table_name)
@@ -436,20 +436,20 @@ left join c using (source_id, schema_name, table_name) left join i using (source
 left join f using (source_id, schema_name, table_name)""")
 def table_records(c: Catalog) -> DataFrame:
     records = dic.records(fleet(c)).withColumn("view_query", F.col("view.view_query"))
-    return _flat_records(records, "table_type", "record_part", "view_query")
+    return _flat_records(records, "table_type", "view_query")
 
 
 # --- aggregates ---------------------------------------------------------------------------------
 
 @check("agg_1_index_columns", with_clause("cat_statistics") + """
-select oid, index_name, non_unique, 0 as part_no, string_agg(column_name, ',' order by seq_in_index) as index_columns
+select oid, index_name, non_unique, string_agg(column_name, ',' order by seq_in_index) as index_columns
 from cat_statistics where index_name <> 'PRIMARY' group by oid, index_name, non_unique""")
 def index_columns(c: Catalog) -> DataFrame:
     return relations.listed_indexes(c.view("cat_statistics"))
 
 
 @check("agg_2_foreign_keys", USAGE + """
-select k.oid, k.constraint_name, 0 as part_no, string_agg(column_name, ', ' order by ordinal_position) as constraint_column,
+select k.oid, k.constraint_name, string_agg(column_name, ', ' order by ordinal_position) as constraint_column,
   string_agg(referenced_column_name, ', ' order by ordinal_position) as ref_columns,
   min_by(referenced_table_name || '.' || referenced_column_name, ordinal_position) as reference,
   delete_rule as delete_action, update_rule as update_action
@@ -457,20 +457,19 @@ from cat_kcu k join cat_rc r on r.constraint_name = k.constraint_name
 group by k.oid, k.constraint_name, delete_rule, update_rule""")
 def foreign_keys(c: Catalog) -> DataFrame:
     return relations.foreign_keys(c.view("cat_kcu"), c.view("cat_rc")).select(
-        "oid", "constraint_name", "part_no", "constraint_column",
+        "oid", "constraint_name", "constraint_column",
         F.array_join("ref_columns", ", ").alias("ref_columns"), "reference", "delete_action", "update_action")
 
 
 @check("agg_2_foreign_keys_by_reference", USAGE + """
-select k.oid, k.constraint_name, referenced_table_name || '.' || referenced_column_name as reference, 0 as part_no,
+select k.oid, k.constraint_name, referenced_table_name || '.' || referenced_column_name as reference,
   string_agg(column_name, ',' order by ordinal_position) as constraint_column,
   delete_rule as delete_action, update_rule as update_action
 from cat_kcu k join cat_rc r on r.constraint_name = k.constraint_name
 group by k.oid, k.constraint_name, referenced_table_name, referenced_column_name, delete_rule, update_rule""")
 def foreign_keys_by_reference(c: Catalog) -> DataFrame:
-    return relations.foreign_keys_by_reference(
-        c.view("cat_kcu"), c.view("cat_rc"), part_size=1 << 30).select(
-        "oid", "constraint_name", "reference", "part_no", "constraint_column", "delete_action", "update_action")
+    return relations.foreign_keys_by_reference(c.view("cat_kcu"), c.view("cat_rc")).select(
+        "oid", "constraint_name", "reference", "constraint_column", "delete_action", "update_action")
 
 
 @check("agg_3_column_keys", KEYED + " select oid, column_name, column_key from column_keys")
@@ -488,10 +487,10 @@ def ordered_names(c: Catalog) -> DataFrame:
 
 
 @check("agg_5_nested_columns", RECORD_SQL
-       + " select source_id, schema_name, table_name, 0 as record_part, n_columns, columns from c")
+       + " select source_id, schema_name, table_name, n_columns, columns from c")
 def nested_columns(c: Catalog) -> DataFrame:
     columns = dic.nested_children(fleet(c))[0]
-    return columns.select(*dic.TABLE, "record_part", *_flat(
+    return columns.select(*dic.TABLE, *_flat(
         "columns", lambda m: F.concat(m["column_name"], F.lit(" "), m["column_type"])))
 
 

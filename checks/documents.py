@@ -249,7 +249,7 @@ def script_files(c: Catalog) -> DataFrame:
 
 
 RECORDS = DICT + f"""
-select t.source_id, t.schema_name, t.table_name, t.table_type, 0 as record_part,
+select t.source_id, t.schema_name, t.table_name, t.table_type,
   coalesce(c.n, 0) as n_columns, columns, coalesce(i.n, 0) as n_indexes, indexes, coalesce(f.n, 0) as n_foreign_keys, foreign_keys
 from d_tables t
 left join (select {T3}, count(*) as n, string_agg(column_name || ' ' || column_type, ',' order by ordinal_position) as columns
@@ -264,15 +264,18 @@ left join (select {T3}, count(*) as n, string_agg(constraint_name || '>' || refe
 def record_files(c: Catalog) -> DataFrame:
     path = place(c.spark, "records")
     sinks.write_records(fleet(c, PATTERNS), path)
-    return _flat_records(c.spark.read.parquet(path), "table_type", "record_part")
-
-
-@check("snk_3_sheet_files", DICT + f"select {T3}, index_name, part_no, non_unique, index_columns, predicate from d_indexes")
-def sheet_files(c: Catalog) -> DataFrame:
-    path = place(c.spark, "sheets")
-    full = fleet(c, PATTERNS)
-    sinks.write_sheets(dic.Dictionary(indexes=full.indexes), path)
-    schema = ("schema_name string, table_name string, index_name string, part_no int, non_unique int,"
-              " index_columns string, predicate string, source_id string")
-    return c.spark.read.schema(schema).option("header", True).csv(f"{path}/indexes").select(
-        *dic.TABLE, "index_name", "part_no", "non_unique", "index_columns", "predicate")
+    return _flat_records(c.spark.read.parquet(path), "table_type")
+
+
+def _register_sheets() -> None:
+    """One check per sheet: what comes back from the files is the part of the dictionary."""
+    for part in dic.Dictionary.PARTS:
+        def sheet(c: Catalog, part: str = part) -> DataFrame:
+            path = place(c.spark, "sheets")
+            sinks.write_sheets(dic.Dictionary(**{part: getattr(fleet(c, PATTERNS), part)}), path)
+            return sinks.read_sheet(c.spark, path, part)
+
+        check("snk_3_sheet_files" if part == "indexes" else f"snk_3_sheet_{part}", DICT + f"select * from d_{part}")(sheet)
+
+
+_register_sheets()

@@ -103,12 +103,12 @@ pg_columns as (
   where a.attnum > 0 and not a.attisdropped),
 d_columns as (select * from my_columns union all select * from pg_columns),
 my_indexes as (
-  select {TABLE}, index_name, 0 as part_no, non_unique,
+  select {TABLE}, index_name, non_unique,
          string_agg(column_name, ',' order by seq_in_index) as index_columns, {NULL} as predicate
   from cat_statistics s join base_my t on t.oid = s.oid
   where index_name <> 'PRIMARY' group by {TABLE}, index_name, non_unique),
 pg_indexes as (
-  select {TABLE}, index_name, 0 as part_no, case when is_unique then 0 else 1 end as non_unique,
+  select {TABLE}, index_name, case when is_unique then 0 else 1 end as non_unique,
          index_columns, predicate
   from (select oid, index_name, {PARSED_INDEX} from cat_indexes
         where index_name not in (select replace(conname, 'con_', 'ix_') from cat_constraints
@@ -116,7 +116,7 @@ pg_indexes as (
   join base_pg t on t.oid = i.oid),
 d_indexes as (select * from my_indexes union all select * from pg_indexes),
 my_foreign_keys as (
-  select {TABLE}, k.constraint_name, 0 as part_no, string_agg(column_name, ',' order by ordinal_position) as constraint_column,
+  select {TABLE}, k.constraint_name, string_agg(column_name, ',' order by ordinal_position) as constraint_column,
          min_by(referenced_table_name || '.' || referenced_column_name, ordinal_position) as reference,
          delete_rule as delete_action, update_rule as update_action
   from cat_kcu k join cat_rc r on r.constraint_name = k.constraint_name join base_my t on t.oid = k.oid
@@ -133,7 +133,7 @@ pg_resolved as (
   left join fleet_tables f on f.oid = c.confrelid
   left join (select distinct oid, nspname from cat_namespace) n on n.oid = f.oid % 10),
 pg_foreign_keys as (
-  select {TABLE}, conname as constraint_name, 0 as part_no, local_columns as constraint_column,
+  select {TABLE}, conname as constraint_name, local_columns as constraint_column,
          ref_table || '.' || first_ref as reference, delete_action, update_action
   from pg_resolved c join base_pg t on t.oid = c.oid where contype = 'f'),
 d_foreign_keys as (select * from my_foreign_keys union all select * from pg_foreign_keys),

@@ -16,18 +16,36 @@ from pyspark.sql import functions as F
 
 from datadict.storage import pin
 
-# Members of one list or record part. No server allows an index of 4,096 columns or a table of
-# more, so a real list is a single part; a longer one goes on in parts 1, 2, ... of equal key.
-PART_SIZE = 4096
+# Members that one task sorts before the slices of a list are put together.
+LIST_SLICE = 4096
 
 _ROW_BITS = 33  # monotonically_increasing_id: partition above, row below
 
 
-def part_of(position: Column, size: int = PART_SIZE) -> Column:
-    """Part number of a 1-based position."""
+def slice_of(position: Column, size: int = LIST_SLICE) -> Column:
+    """Slice number of a 1-based position."""
     return F.floor((position - 1) / size).cast("int")
 
 
+def ordered_lists(df: DataFrame, key: Sequence[str], position: str, fields: Sequence[str | Column], name: str,
+                  size: int = LIST_SLICE) -> DataFrame:
+    """One row per key: its members as structs (position, fields) in order, however many they are.
+
+    Slices of a list are collected and sorted by tasks of their own; what meets in the key's task are
+    sorted arrays in the order of their slices, which are only put one after the other. Null positions
+    come first. `position` is the name of a whole-number column, 1 for the first member.
+    """
+    members = F.array_sort(F.collect_list(F.struct(position, *fields)))
+    sorted_slices = df.groupBy(*key, slice_of(F.col(position), size).alias("_slice")).agg(members.alias("_members"))
+    in_order = F.array_sort(F.collect_list(F.struct("_slice", "_members")))
+    return sorted_slices.groupBy(*key).agg(F.flatten(F.transform(in_order, lambda s: s["_members"])).alias(name))
+
+
+def named_lists(df: DataFrame, key: Sequence[str], fields: Sequence[str | Column], name: str) -> DataFrame:
+    """One row per key: its members as structs, in the order of the first field. Map tasks collect their own members."""
+    return df.groupBy(*key).agg(F.array_sort(F.collect_list(F.struct(*fields))).alias(name))
+
+
 def _met(names: Sequence[str]) -> Column:
     """Null-safe equality of rows `r` and marks `m`."""
     return reduce(lambda a, b: a & b, [F.col(f"r.{n}").eqNullSafe(F.col(f"m.{n}")) for n in names])

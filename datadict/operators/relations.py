@@ -10,12 +10,12 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from datadict.functions import definitions
 from datadict.operators import filters
-from datadict.operators.ordered import PART_SIZE, number_rows, part_of
+from datadict.operators.ordered import LIST_SLICE, number_rows, ordered_lists, slice_of
 
 OID = ("oid",)
 
@@ -99,21 +99,22 @@ def column_keys(indexes: DataFrame, attributes: DataFrame, key: Sequence[str] =
 
 def numbered_columns(columns: DataFrame, key: Sequence[str] = OID) -> DataFrame:
     """Add the 0-based `no` a column has in its table's list, whatever gaps the ordinals have."""
-    numbered = number_rows(columns, key, ["ordinal_position"], part_of(F.col("ordinal_position")), "no")
+    numbered = number_rows(columns, key, ["ordinal_position"], slice_of(F.col("ordinal_position")), "no")
     return numbered.withColumn("no", F.col("no") - 1)
 
 
 # --- indexes ----------------------------------------------------------------------------------
 
-def listed_indexes(statistics: DataFrame, key: Sequence[str] = OID, part_size: int = PART_SIZE) -> DataFrame:
-    """MySQL indexes with their columns in order, joined by commas."""
-    part = part_of(F.col("seq_in_index"), part_size).alias("part_no")
-    names = ordered_values(F.col("seq_in_index"), F.col("column_name"))
-    return (
-        filters.without_primary(statistics)
-        .groupBy(*key, "index_name", "non_unique", part)
-        .agg(F.array_join(names, ",").alias("index_columns"))
-    )
+def _present(members: str, field: str) -> Column:
+    """The field of a list's members, without nulls."""
+    return F.filter(F.transform(members, lambda m: m[field]), lambda v: v.isNotNull())
+
+
+def listed_indexes(statistics: DataFrame, key: Sequence[str] = OID, size: int = LIST_SLICE) -> DataFrame:
+    """MySQL indexes with their columns in order, joined by commas: one row per index of any length."""
+    key = [*key, "index_name", "non_unique"]
+    lists = ordered_lists(filters.without_primary(statistics), key, "seq_in_index", ["column_name"], "members", size)
+    return lists.select(*key, F.array_join(_present("members", "column_name"), ",").alias("index_columns"))
 
 
 def without_constraint(indexes: DataFrame, constraints: DataFrame, kinds: Sequence[str],
@@ -151,25 +152,19 @@ def fk_usage_paired(constraints: DataFrame, usage: DataFrame, referenced: DataFr
 
 
 def foreign_keys(usage: DataFrame, rules: DataFrame, key: Sequence[str] = OID, separator: str = ", ",
-                 part_size: int = PART_SIZE) -> DataFrame:
-    """One row per foreign key: column lists in order and the reference of the first pair.
+                 size: int = LIST_SLICE) -> DataFrame:
+    """One row per foreign key: column lists in order, each column once, and the reference of the first pair.
 
-    Lists are built before the rules are joined, so the join sees constraints and not columns. A list
-    longer than a part has the reference of the constraint's first pair in every part.
+    Lists are built before the rules are joined, so the join sees constraints and not columns.
     """
-    parts = Window.partitionBy(*key, "constraint_name").orderBy("part_no")
-    pair = F.struct(F.col("ordinal_position").alias("at"), F.col("column_name").alias("local"),
-                    F.col("referenced_table_name").alias("ref_table"),
-                    F.col("referenced_column_name").alias("ref_column"))
+    pairs = ordered_lists(usage.where(F.col("constraint_name") != "PRIMARY"), [*key, "constraint_name"], "ordinal_position",
+                          ["column_name", "referenced_table_name", "referenced_column_name"], "pairs", size)
+    first = F.col("pairs")[0]
     listed = (
-        usage.where(F.col("constraint_name") != "PRIMARY")
-        .groupBy(*key, "constraint_name", part_of(F.col("ordinal_position"), part_size).alias("part_no"))
-        .agg(F.array_sort(F.collect_list(pair)).alias("pairs"))
-        .withColumn("columns", F.array_distinct(F.col("pairs.local")))
-        .withColumn("ref_columns", F.col("pairs.ref_column"))
+        pairs.withColumn("columns", F.array_distinct(F.col("pairs.column_name")))
+        .withColumn("ref_columns", F.col("pairs.referenced_column_name"))
         .withColumn("constraint_column", F.array_join("columns", separator))
-        .withColumn("reference", F.concat(F.col("pairs")[0]["ref_table"], F.lit("."), F.col("pairs")[0]["ref_column"]))
-        .withColumn("reference", F.first("reference").over(parts))
+        .withColumn("reference", F.concat(first["referenced_table_name"], F.lit("."), first["referenced_column_name"]))
         .drop("pairs")
     )
     return listed.join(rules, _rule_key(rules)).withColumnsRenamed(
@@ -177,16 +172,13 @@ def foreign_keys(usage: DataFrame, rules: DataFrame, key: Sequence[str] = OID, s
 
 
 def foreign_keys_by_reference(usage: DataFrame, rules: DataFrame, key: Sequence[str] = OID,
-                              part_size: int = PART_SIZE) -> DataFrame:
+                              size: int = LIST_SLICE) -> DataFrame:
     """MySQL's own grouping: a constraint gives one row per referenced column."""
     reference = F.concat("referenced_table_name", F.lit("."), "referenced_column_name")
-    listed = (
-        usage.where(F.col("constraint_name") != "PRIMARY")
-        .groupBy(*key, "constraint_name", reference.alias("reference"),
-                 part_of(F.col("ordinal_position"), part_size).alias("part_no"))
-        .agg(F.array_join(ordered_values(F.col("ordinal_position"), F.col("column_name")), ",")
-             .alias("constraint_column"))
-    )
+    key = [*key, "constraint_name", "reference"]
+    named = usage.where(F.col("constraint_name") != "PRIMARY").withColumn("reference", reference)
+    listed = ordered_lists(named, key, "ordinal_position", ["column_name"], "members", size).select(
+        *key, F.array_join(_present("members", "column_name"), ",").alias("constraint_column"))
     return listed.join(rules, _rule_key(rules)).withColumnsRenamed(
         {"delete_rule": "delete_action", "update_rule": "update_action"})
 

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from datadict.functions import definitions, types
 from datadict.operators import filters, relations
-from datadict.operators.ordered import PART_SIZE, part_of
+from datadict.operators.ordered import named_lists, ordered_lists
 
 TABLE = ("source_id", "schema_name", "table_name")
 
@@ -20,8 +20,8 @@ class Dictionary:
 
     tables        TABLE, dialect, table_type, engine, row_format, collation, comment
     columns       TABLE, ordinal_position, column_name, column_type, nullable, default_value, ...
-    indexes       TABLE, index_name, part_no, non_unique, index_columns, predicate
-    foreign_keys  TABLE, constraint_name, part_no, constraint_column, reference, actions
+    indexes       TABLE, index_name, non_unique, index_columns, predicate
+    foreign_keys  TABLE, constraint_name, constraint_column, reference, actions
     views         TABLE, view_query, charset, collation
     """
 
@@ -82,13 +82,13 @@ def mysql_dictionary(rel: Mapping[str, DataFrame], key: Sequence[str] = TABLE,
 
     def indexes() -> DataFrame:
         return locate(relations.listed_indexes(rel["statistics"], key), base, key).select(
-            *TABLE, "index_name", "part_no", F.coalesce("non_unique", F.lit(1)).alias("non_unique"),
+            *TABLE, "index_name", F.coalesce("non_unique", F.lit(1)).alias("non_unique"),
             "index_columns", _null().alias("predicate"))
 
     def foreign_keys() -> DataFrame:
         keys = relations.foreign_keys(rel["key_column_usage"], rel["referential_constraints"], key, separator=",")
         return locate(keys, base, key).select(
-            *TABLE, "constraint_name", "part_no", "constraint_column", "reference", "delete_action",
+            *TABLE, "constraint_name", "constraint_column", "reference", "delete_action",
             "update_action")
 
     def bodies() -> DataFrame:
@@ -109,7 +109,7 @@ def postgres_foreign_keys(rel: Mapping[str, DataFrame], key: Sequence[str]) -> D
         source=[c for c in key if c != "oid"])
     first = F.element_at("ref_columns", 1)
     return relations.with_fk_actions(named).select(
-        *key, F.col("conname").alias("constraint_name"), F.lit(0).alias("part_no"),
+        *key, F.col("conname").alias("constraint_name"),
         F.array_join("local_columns", ", ").alias("constraint_column"),
         F.concat(F.coalesce("ref_table", F.lit("")), F.lit("."),
                  F.coalesce(F.when(F.size("ref_columns") > 0, first), F.lit(""))).alias("reference"),
@@ -145,12 +145,12 @@ def postgres_dictionary(rel: Mapping[str, DataFrame], key: Sequence[str] = ("sou
         secondary = relations.without_constraint(rel["indexes"], rel["constraints"], ["p"],
                                                  backing or [*key, "index_name"])
         return definitions.with_index_parts(locate(secondary, base, key)).select(
-            *TABLE, "index_name", F.lit(0).alias("part_no"),
+            *TABLE, "index_name",
             F.when(F.col("is_unique"), 0).otherwise(1).alias("non_unique"), "index_columns", "predicate")
 
     def foreign_keys() -> DataFrame:
         return locate(postgres_foreign_keys(rel, key), base, key).select(
-            *TABLE, "constraint_name", "part_no", "constraint_column", "reference", "delete_action",
+            *TABLE, "constraint_name", "constraint_column", "reference", "delete_action",
             "update_action")
 
     def bodies() -> DataFrame:
@@ -174,48 +174,24 @@ def combine(*dictionaries: Dictionary) -> Dictionary:
 
 _COLUMN = ("ordinal_position", "column_name", "column_type", "nullable", "default_value", "charset",
            "collation", "column_key", "extra", "comment")
-_INDEX = ("index_name", "part_no", "non_unique", "index_columns", "predicate")
-_FOREIGN = ("constraint_name", "part_no", "constraint_column", "reference", "delete_action", "update_action")
+_INDEX = ("index_name", "non_unique", "index_columns", "predicate")
+_FOREIGN = ("constraint_name", "constraint_column", "reference", "delete_action", "update_action")
 
 
-def _named_part(df: DataFrame, name: str, size: int) -> DataFrame:
-    """Part of a row in a list ordered by name: 0, unless its table has more than `size` rows.
-
-    Only tables above `size` are looked up, at most one in `size` rows. Such a table is spread over
-    its parts by the hash of the name; each part is in order, and names tell the order of the whole.
-    """
-    large = df.groupBy(*TABLE).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > size)
-    parts = F.ceil(F.col("_n") / size)
-    return (df.join(large, list(TABLE), "left")
-            .withColumn("record_part", F.coalesce(F.pmod(F.xxhash64(name), parts), F.lit(0)).cast("int"))
-            .drop("_n"))
-
-
-def _nested(df: DataFrame, fields: Sequence[str], name: str) -> DataFrame:
-    members = F.array_sort(F.collect_list(F.struct(*fields)))
-    return df.groupBy(*TABLE, "record_part").agg(members.alias(name))
+def nested_children(d: Dictionary) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Columns, indexes and foreign keys as ordered arrays, one row per table that has any."""
+    return (ordered_lists(d.columns, TABLE, _COLUMN[0], _COLUMN[1:], "columns"),
+            named_lists(d.indexes, TABLE, _INDEX, "indexes"),
+            named_lists(d.foreign_keys, TABLE, _FOREIGN, "foreign_keys"))
 
 
-def nested_children(d: Dictionary, part_size: int = PART_SIZE) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """Columns, indexes and foreign keys as ordered arrays per table and record part."""
-    columns = d.columns.withColumn("record_part", part_of(F.col("ordinal_position"), part_size))
-    return (_nested(columns, _COLUMN, "columns"),
-            _nested(_named_part(d.indexes, "index_name", part_size), _INDEX, "indexes"),
-            _nested(_named_part(d.foreign_keys, "constraint_name", part_size), _FOREIGN, "foreign_keys"))
-
-
-def records(d: Dictionary, part_size: int = PART_SIZE) -> DataFrame:
-    """One nested record per table; a table that lacks a part, or all of them, is still there.
-
-    A table with more than `part_size` children of a kind goes on in further records of the same
-    name with `record_part` 1, 2, ..., so no record grows without bound.
-    """
-    columns, indexes, foreign = nested_children(d, part_size)
-    key = [*TABLE, "record_part"]
-    children = columns.join(indexes, key, "full").join(foreign, key, "full")
+def records(d: Dictionary) -> DataFrame:
+    """One nested record per table; a table that lacks a part, or all of them, is still there."""
     views = d.views.select(*TABLE, F.struct("view_query", "charset", "collation").alias("view"))
-    joined = d.tables.join(views, list(TABLE), "left").join(children, list(TABLE), "left")
-    return joined.withColumn("record_part", F.coalesce("record_part", F.lit(0)))
+    joined = d.tables.join(views, list(TABLE), "left")
+    for children in nested_children(d):
+        joined = joined.join(children, list(TABLE), "left")
+    return joined
 
 
 # --- size ---------------------------------------------------------------------------------------

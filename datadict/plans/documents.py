@@ -152,12 +152,12 @@ def markdown_lines(d: Dictionary, schemas: DataFrame | None = None) -> DataFrame
         F.lit("- ["), texts.index_label(F.col("non_unique")), F.lit("]"), F.col("index_name"), F.lit("("),
         F.col("index_columns"), F.lit(")"),
         F.coalesce(F.concat(F.lit(" WHERE "), F.col("predicate")), F.lit(""))),
-        INDEX_ROW, item_name=F.col("index_name"), line_no=F.col("part_no"))
+        INDEX_ROW, item_name=F.col("index_name"))
     foreign_rows = lines(d.foreign_keys, TABLES, F.concat(
         F.lit("- "), F.col("constraint_name"), F.lit(" FOREIGN KEY ("), F.col("constraint_column"),
         F.lit(") Reference "), F.col("reference"), F.lit(" ON DELETE "), F.col("delete_action"),
         F.lit(" ON UPDATE "), F.col("update_action")),
-        FOREIGN_ROW, item_name=F.col("constraint_name"), line_no=F.col("part_no"))
+        FOREIGN_ROW, item_name=F.col("constraint_name"))
     return _union([
         heads, entries, list_end, fixed, column_rows,
         _sections_of(d.indexes, "**Index**", INDEXES, INDEXES_END), index_rows,
@@ -314,8 +314,6 @@ def sheet_heights(d: Dictionary) -> DataFrame:
     counted = None
     for name in ("columns", "indexes", "foreign_keys"):
         child = getattr(d, name)
-        if name != "columns":
-            child = child.where("part_no = 0")
         part = child.select(*TABLE, *[F.lit(int(name == n)).alias(n) for n in ("columns", "indexes", "foreign_keys")])
         counted = part if counted is None else counted.unionByName(part)
     counts = counted.groupBy(*TABLE).agg(*[F.sum(n).alias(n) for n in ("columns", "indexes", "foreign_keys")])

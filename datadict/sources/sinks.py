@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from datadict.plans.dictionary import TABLE, Dictionary, records
 from datadict.plans.documents import DOCUMENT, ORDER
+from datadict.sources.dumps import CSV_OPTIONS, read_csv
 from datadict.storage import store
 
 
@@ -31,11 +32,22 @@ def write_records(d: Dictionary, path: str) -> None:
     records(d).write.mode("overwrite").partitionBy("source_id").parquet(path)
 
 
+# Columns of the sheets that are numbers; all others are texts.
+SHEET_NUMBERS = {"columns": {"ordinal_position": "int"}, "indexes": {"non_unique": "int"}}
+
+
 def write_sheets(d: Dictionary, path: str) -> None:
-    """Flat CSV per child table for spreadsheet users."""
+    """Flat CSV per child table for spreadsheet users. A null is nothing, an empty text is `""`."""
     for name in d.present:
         df = getattr(d, name)
         key = [c for c in TABLE if c != "source_id"]
         rest = [c for c in df.columns if c not in TABLE]
         df.select(*key, *rest, "source_id").write.mode("overwrite").partitionBy("source_id") \
-            .option("header", True).csv(f"{path}/{name}")
+            .options(**CSV_OPTIONS).csv(f"{path}/{name}")
+
+
+def read_sheet(spark: SparkSession, path: str, name: str) -> DataFrame:
+    """A sheet as it was written: nulls, empty texts, line breaks and numbers come back."""
+    df = read_csv(spark, f"{path}/{name}")
+    kinds = {"source_id": "string", **SHEET_NUMBERS.get(name, {})}
+    return df.withColumns({c: F.col(c).cast(k) for c, k in kinds.items()})

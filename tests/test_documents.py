@@ -14,8 +14,8 @@ SCHEMAS = {
     "tables": f"{T}, dialect string, table_type string, engine string, row_format string, collation string, comment string",
     "columns": f"{T}, ordinal_position int, column_name string, column_type string, nullable string,"
                " default_value string, charset string, collation string, column_key string, extra string, comment string",
-    "indexes": f"{T}, index_name string, part_no int, non_unique int, index_columns string, predicate string",
-    "foreign_keys": f"{T}, constraint_name string, part_no int, constraint_column string, reference string,"
+    "indexes": f"{T}, index_name string, non_unique int, index_columns string, predicate string",
+    "foreign_keys": f"{T}, constraint_name string, constraint_column string, reference string,"
                     " delete_action string, update_action string",
     "views": f"{T}, view_query string, charset string, collation string",
 }
@@ -38,8 +38,8 @@ def crates(spark, predicate=None):
         tables=[(*ORDERS, "mysql", "BASE TABLE", "MyISAM", "Fixed", "latin1_bin", "what is stored")],
         columns=[(*ORDERS, 1, "shelf", "smallint", "NO", "7", None, None, "MUL", None, None),
                  (*ORDERS, 2, "label", "char(9)", "YES", None, "latin1", "latin1_bin", None, None, "as printed")],
-        indexes=[(*ORDERS, "by_label", 0, 0, "label", None), (*ORDERS, "by_shelf", 0, 1, "shelf, label", predicate)],
-        foreign_keys=[(*ORDERS, "on_shelf", 0, "shelf", "shelves.no", "RESTRICT", "SET NULL")])
+        indexes=[(*ORDERS, "by_label", 0, "label", None), (*ORDERS, "by_shelf", 1, "shelf, label", predicate)],
+        foreign_keys=[(*ORDERS, "on_shelf", "shelf", "shelves.no", "RESTRICT", "SET NULL")])
 
 
 def test_base_table_markdown(spark):
@@ -184,24 +184,20 @@ def wide(spark, n_columns, n_indexes):
     return build(
         spark, tables=[(*ORDERS, "mysql", "BASE TABLE", None, None, None, None), ("e", "depot", "bare", "mysql", "VIEW", None, None, None, None)],
         columns=[(*ORDERS, i, f"c{i}", "int", "NO", None, None, None, None, None, None) for i in range(1, n_columns + 1)],
-        indexes=[(*ORDERS, f"i{i}", 0, 1, f"c{i}", None) for i in range(n_indexes)])
+        indexes=[(*ORDERS, f"i{i}", 1, f"c{i}", None) for i in range(n_indexes)])
 
 
 def test_records_are_whole(spark):
     got = {r["table_name"]: r for r in dic.records(wide(spark, 5, 2)).collect()}
     assert [c["column_name"] for c in got["crates"]["columns"]] == [f"c{i}" for i in range(1, 6)]
     assert len(got["crates"]["indexes"]) == 2 and got["crates"]["foreign_keys"] is None
-    assert got["bare"]["columns"] is None and got["bare"]["record_part"] == 0
+    assert got["bare"]["columns"] is None and got["bare"]["view"] is None
 
 
-def test_large_record_goes_on_in_parts(spark):
-    rows = [r for r in dic.records(wide(spark, 45, 33), part_size=10).collect() if r["table_name"] == "crates"]
-    assert len(rows) == len({r["record_part"] for r in rows})
-    columns = [c["column_name"] for r in sorted(rows, key=lambda r: r["record_part"]) for c in r["columns"] or []]
-    assert columns == [f"c{i}" for i in range(1, 46)]
-    indexes = [i["index_name"] for r in rows for i in r["indexes"] or []]
-    assert sorted(indexes) == sorted(f"i{i}" for i in range(33))
-    assert max(len(r["columns"] or []) for r in rows) <= 10
+def test_large_record_is_one_row(spark):
+    (row,) = [r for r in dic.records(wide(spark, 9001, 33)).collect() if r["table_name"] == "crates"]
+    assert [c["column_name"] for c in row["columns"]] == [f"c{i}" for i in range(1, 9002)]
+    assert [i["index_name"] for i in row["indexes"]] == sorted(f"i{i}" for i in range(33))
 
 
 def test_sheet_rows(spark):

@@ -39,7 +39,7 @@ def test_number_rows(spark, rows, span):
 
 def test_number_rows_puts_null_positions_first(spark):
     df = spark.createDataFrame([("a", 5), ("a", None), ("a", 1)], "g string, pos int")
-    got = ordered.number_rows(df, ["g"], ["pos"], ordered.part_of(F.col("pos"), 2)).collect()
+    got = ordered.number_rows(df, ["g"], ["pos"], ordered.slice_of(F.col("pos"), 2)).collect()
     assert sorted((r["rn"], r["pos"]) for r in got) == [(1, None), (2, 1), (3, 5)]
 
 
@@ -72,5 +72,9 @@ def test_hot_group_spreads_over_slices(spark, rows):
     assert slices > 2
 
 
-def test_parts():
-    assert ordered.PART_SIZE >= 1600  # no server list is longer than one part
+@pytest.mark.parametrize("size", [1, 3, 4096])
+def test_lists_of_slices(spark, size):
+    df = spark.createDataFrame([(g, p, f"v{p % 4}") for g in ("a", "b") for p in range(1, 12 if g == "a" else 2)],
+                               "g string, at int, v string").repartition(4)
+    got = {r["g"]: [tuple(m) for m in r["m"]] for r in ordered.ordered_lists(df, ["g"], "at", ["v"], "m", size).collect()}
+    assert got == {"a": [(p, f"v{p % 4}") for p in range(1, 12)], "b": [(1, "v1")]}

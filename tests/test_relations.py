@@ -1,5 +1,6 @@
 """Joins and aggregates on small relations that show each rule."""
 
+import pytest
 from pyspark.sql import functions as F
 
 from datadict.operators import relations as rel
@@ -96,25 +97,33 @@ def test_usage_of_equal_names_on_two_tables_does_not_mix(spark):
         (1, "a", "t", "x"), (1, "b", "t", "y"), (2, "m", "u", "z")}
 
 
-def test_long_lists_go_on_in_parts(spark):
-    statistics = spark.range(1, 26).select(
+def test_long_lists_are_one_row(spark):
+    statistics = spark.range(1, 10_001).select(
         F.lit(1).alias("oid"), F.lit("ix").alias("index_name"), F.lit(1).alias("non_unique"),
         F.concat(F.lit("c"), "id").alias("column_name"), F.col("id").cast("int").alias("seq_in_index"))
-    got = rel.listed_indexes(statistics, part_size=10).orderBy("part_no").collect()
-    assert [r["part_no"] for r in got] == [0, 1, 2]
-    assert ",".join(r["index_columns"] for r in got) == ",".join(f"c{i}" for i in range(1, 26))
+    want = ",".join(f"c{i}" for i in range(1, 10_001))
+    for size in (7, 4096, 1 << 20):
+        assert [r["index_columns"] for r in rel.listed_indexes(statistics.repartition(5), size=size).collect()] == [want]
 
 
-def test_every_part_of_a_long_foreign_key_has_its_reference(spark):
+@pytest.mark.parametrize("size", [10, 4096])
+def test_long_foreign_key_names_a_column_once(spark, size):
+    """A column that comes again in a later slice is left out; the reference is that of the first pair."""
     usage = spark.range(1, 26).select(
-        F.lit(1).alias("oid"), F.lit("fk").alias("constraint_name"), F.concat(F.lit("c"), "id").alias("column_name"),
+        F.lit(1).alias("oid"), F.lit("fk").alias("constraint_name"), F.concat(F.lit("c"), F.col("id") % 20).alias("column_name"),
         F.col("id").cast("int").alias("ordinal_position"), F.lit("t").alias("referenced_table_name"),
         F.concat(F.lit("r"), "id").alias("referenced_column_name"))
     rules = spark.createDataFrame([("fk", "CASCADE", "NO ACTION")],
                                   "constraint_name string, delete_rule string, update_rule string")
-    got = rel.foreign_keys(usage, rules, part_size=10).orderBy("part_no").collect()
-    assert [(r["part_no"], r["reference"]) for r in got] == [(0, "t.r1"), (1, "t.r1"), (2, "t.r1")]
-    assert ", ".join(r["constraint_column"] for r in got) == ", ".join(f"c{i}" for i in range(1, 26))
+    (got,) = rel.foreign_keys(usage, rules, size=size).collect()
+    assert got["reference"] == "t.r1" and got["constraint_column"] == ", ".join(f"c{i % 20}" for i in range(1, 21))
+    assert got["ref_columns"] == [f"r{i}" for i in range(1, 26)]
+
+
+def test_list_members_without_place_or_value(spark):
+    df = spark.createDataFrame([(1, "ix", 0, "b", 2), (1, "ix", 0, None, 3), (1, "ix", 0, "z", None), (2, "iy", 1, None, 1)],
+                               "oid long, index_name string, non_unique int, column_name string, seq_in_index int")
+    assert rows(rel.listed_indexes(df, size=1), "oid", "index_columns") == {(1, "z,b"), (2, "")}
 
 
 def test_column_numbers_close_gaps(spark):

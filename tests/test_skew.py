@@ -52,14 +52,15 @@ def test_range_slices_are_even(spark):
     assert sum(sizes) == N and max(sizes) < 2 * N / len(sizes)
 
 
-def test_hot_index_is_listed_in_parts(spark):
-    """Lists are cut by position before they are collected, and every member is there."""
+def test_hot_index_is_one_row(spark):
+    """Slices are sorted by several tasks; the list is one row with every member in order."""
     df = spark.range(1, N + 1).selectExpr(
         "1 as oid", "'ix' as index_name", "1 as non_unique", "concat('c', id) as column_name",
         "cast(id as int) as seq_in_index").repartition(8)
-    got = relations.listed_indexes(df).orderBy("part_no").collect()
-    assert max(r["index_columns"].count(",") + 1 for r in got) <= ordered.PART_SIZE
-    assert [c for r in got for c in r["index_columns"].split(",")] == [f"c{i}" for i in range(1, N + 1)]
+    listed = relations.listed_indexes(df)
+    assert [r["index_columns"].split(",") for r in listed.collect()] == [[f"c{i}" for i in range(1, N + 1)]]
+    slices = df.groupBy("oid", ordered.slice_of(F.col("seq_in_index"))).count().agg(F.max("count")).first()[0]
+    assert slices == ordered.LIST_SLICE
 
 
 def test_key_ranks_are_reduced_before_the_join(spark):
