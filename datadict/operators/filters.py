@@ -50,56 +50,75 @@ def exclude_like(df: DataFrame, patterns: Sequence[str], dialect: str | Column |
     return df.where(~reduce(lambda a, b: a | b, hits)) if hits else df
 
 
-def exclude_by_pattern_table(df: DataFrame, patterns: DataFrame, key: Sequence[str]) -> DataFrame:
-    """Drop tables matching any row of `patterns(pattern)`, by one equi-join for any number of patterns.
+# Characters of an index gram, and the names that one task takes of a gram that many names have.
+GRAM = 3
+GRAM_NAMES = 50_000
 
-    A pattern with literal text names its longest run of it, which a matching name must contain; LIKE
-    decides on the names that do. A pattern of wildcards alone asks for the number of characters of a
-    name, or for a least number. Names offer all their substrings and lengths; a server's identifiers
-    have 64 characters at most, so these are a bounded number per name.
+
+def exclude_by_pattern_table(df: DataFrame, patterns: DataFrame, key: Sequence[str],
+                             gram_names: int = GRAM_NAMES) -> DataFrame:
+    """Drop tables matching any row of `patterns(pattern)`, by equi-joins for any number of patterns.
+
+    Names offer their grams, runs of up to `GRAM` characters, so their rows grow with their length. A
+    pattern asks for the one gram of its literal text that the fewest names have; grams as long as its
+    text allows are taken, so a literal of one letter is exact too. A gram that no name has drops its
+    pattern. LIKE decides on the names that meet a pattern. A gram of very many names is split by the
+    names' hashes, and its patterns go to each part. A pattern without literal text asks only for a
+    number of characters, or a least number; those are two values for the whole table, and no join.
     """
-    asked = _asked(patterns.select("pattern").where("pattern is not null").distinct())
-    name = F.col("table_name")
-    matched = (
-        df.select(*key, "table_name", "dialect").where("table_name is not null")
-        .withColumn("piece", F.explode(_offered(
-            _folded(name), F.length(F.when(F.col("dialect") == "mysql", _folded(name)).otherwise(name)))))
-        .join(asked, "piece")
-        .where(F.col("wild") | _like(name, F.col("pattern"), F.col("dialect")))
-        .select(*[F.col(k).alias(f"_{k}") for k in key]).distinct()
-    )
-    met = reduce(lambda a, b: a & b, [F.col(k).eqNullSafe(F.col(f"_{k}")) for k in key])
-    return df.join(matched, met, "left_anti")
-
-
-# What a name and a pattern meet on: a literal run, an exact length, or a least length.
-_RUN, _EXACT, _LEAST = "=", "#", ">"
+    literal, wild = _asked(patterns.select("pattern").where("pattern is not null").distinct())
+    name, kind = F.col("table_name"), F.col("dialect")
+    folded = _folded(name)
+    size = F.length(F.when(kind == "mysql", folded).otherwise(name))
+    least = wild.where("open").agg(F.min("size")).scalar()
+    exact = wild.where("not open").agg(F.collect_set("size")).scalar()
+    kept = df.where(~F.coalesce((size >= least) | F.array_contains(exact, size), size >= least, F.array_contains(exact, size), F.lit(False)))
+
+    names = kept.select(*key, "table_name", "dialect").where("table_name is not null")
+    grams = F.array_distinct(F.concat(*[_grams(folded, n) for n in range(1, GRAM + 1)]))
+    offered = names.select(*key, "table_name", "dialect", F.explode(grams).alias("gram"))
+    wanted = literal.select("gram").distinct()
+    counts = offered.select("gram").join(wanted, "gram", "left_semi").groupBy("gram").agg(F.count(F.lit(1)).alias("names"))
+    rarest = literal.join(counts, "gram").groupBy("pattern", "offers").agg(
+        F.min(F.struct("names", "gram")).alias("best"), F.count(F.lit(1)).alias("found")).where("found = offers")
+    parts = F.ceil(F.col("best.names") / gram_names).cast("int")
+    asked = rarest.select("pattern", F.col("best.gram").alias("gram"), parts.alias("parts"))
+    # One row per gram that is asked for, so the names keep only those.
+    met = offered.join(asked.select("gram", "parts").distinct(), "gram").withColumn(
+        "part", F.pmod(F.xxhash64("table_name", *key), F.col("parts")).cast("int")).drop("parts")
+    dealt = asked.select("pattern", "gram", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"))
+    matched = (met.join(dealt, ["gram", "part"]).where(_like(name, F.col("pattern"), kind))
+               .select(*[F.col(k).alias(f"_{k}") for k in key]).distinct())
+    same = reduce(lambda x, y: x & y, [F.col(k).eqNullSafe(F.col(f"_{k}")) for k in key])
+    return kept.join(matched, same, "left_anti")
+
+
 _ESCAPED = "\uffff"
 
 
-def _offered(text: Column, size: Column) -> Column:
-    last = F.length(text)
-    none = F.array().cast("array<string>")
-    runs = F.flatten(F.transform(F.sequence(F.lit(1), last), lambda at: F.transform(
-        F.sequence(F.lit(1), last - at + 1), lambda n: F.concat(F.lit(_RUN), F.substring(text, at, n)))))
-    least = F.transform(F.sequence(F.lit(0), size), lambda n: F.concat(F.lit(_LEAST), n.cast("string")))
-    exact = F.array(F.concat(F.lit(_EXACT), size.cast("string")))
-    return F.concat(F.array_distinct(F.when(last > 0, runs).otherwise(none)), exact, least)
+def _grams(text: Column, n: int) -> Column:
+    """All runs of `n` characters."""
+    runs = F.transform(F.sequence(F.lit(1), F.length(text) - n + 1), lambda at: F.substring(text, at, n))
+    return F.when(F.length(text) >= n, runs).otherwise(F.array().cast("array<string>"))
 
 
-def _asked(patterns: DataFrame) -> DataFrame:
-    """`patterns` with `piece` and `wild` (no literal text). Escaped characters are literal text."""
+def _asked(patterns: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(pattern, gram, offers: the number of its grams; wildcards alone as size, open). Escaped characters are literal text."""
     marked = F.regexp_replace("pattern", r"(?s)\\(.)", _ESCAPED + "$1")
     literal = F.split(marked, f"(?<!{_ESCAPED})[%_]")
     runs = F.transform(literal, lambda r: _folded(F.replace(r, F.lit(_ESCAPED), F.lit(""))))
-    longest = F.array_min(F.transform(runs, lambda r: F.struct((-F.length(r)).alias("less"), r.alias("run"))))["run"]
     places = F.regexp_replace(marked, f"{_ESCAPED}.", "")
-    size = F.length(F.replace(places, F.lit("%"), F.lit(""))).cast("string")
-    wild = F.col("run") == ""
-    piece = F.when(~wild, F.concat(F.lit(_RUN), F.col("run"))).when(
-        F.col("open"), F.concat(F.lit(_LEAST), F.col("size"))).otherwise(F.concat(F.lit(_EXACT), F.col("size")))
-    return patterns.select("pattern", longest.alias("run"), size.alias("size"), places.contains("%").alias("open")).select(
-        "pattern", piece.alias("piece"), wild.alias("wild"))
+    size = F.length(F.replace(places, F.lit("%"), F.lit("")))
+    split = patterns.select("pattern", runs.alias("runs"), size.alias("size"), places.contains("%").alias("open")) \
+        .withColumn("longest", F.least(F.lit(GRAM), F.array_max(F.transform("runs", F.length))))
+
+    def of_length(n: int) -> Column:
+        return F.array_distinct(F.flatten(F.transform("runs", lambda r: _grams(r, n))))
+
+    chosen = reduce(lambda other, n: F.when(F.col("longest") == n, of_length(n)).otherwise(other), range(2, GRAM + 1), of_length(1))
+    text = split.where("longest > 0").withColumn("grams", chosen)
+    return (text.select("pattern", F.size("grams").alias("offers"), F.explode("grams").alias("gram")),
+            split.where("longest = 0").select("size", "open"))
 
 
 def by_type(df: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:

@@ -63,6 +63,32 @@ def test_pattern_table(spark, names, patterns):
     assert {r["oid"] for r in filters.exclude_like(frame(spark, names), patterns).collect()} == kept(names, patterns)
 
 
+@pytest.mark.parametrize("gram_names", [1, 7, 50_000])
+def test_split_grams_and_short_literals(spark, gram_names):
+    names = [f"t_{i}" for i in range(40)] + ["a", "ab", "ABC", "xaby", "\u0130x", "ςΣσ", "", "a%b", "a_b", None]
+    patterns = ["t\\_1%", "%a", "ab", "_b%", "%B%", "a\\%b", "ΣΣς", "zzz%9", "t%3%", "i̇x"]
+    df = frame(spark, [(i, n, ("mysql", "postgres")[i % 2]) for i, n in enumerate(names * 2 + names[:1])]).repartition(3)
+    table = spark.createDataFrame([(p,) for p in patterns], "pattern string")
+    got = filters.exclude_by_pattern_table(df, table, ["oid"], gram_names)
+    want = filters.exclude_like(df, patterns)
+    assert sorted(r["oid"] for r in got.collect()) == sorted(r["oid"] for r in want.collect())
+
+
+def test_names_offer_rows_by_their_length(spark):
+    name = "".join(chr(97 + i % 26) + str(i) for i in range(40))[:64]
+    grams = spark.range(1).select(F.explode(F.array_distinct(F.concat(
+        *[filters._grams(F.lit(name), n) for n in (1, 2, 3)]))).alias("g"))
+    assert len(name) == 64 and grams.count() <= 3 * len(name)
+
+
+def test_wildcards_alone_need_no_join(spark):
+    df = frame(spark, [(i, n, "mysql") for i, n in enumerate(["a", "bb", "ccc", "dddd"])])
+    for patterns, left in ((["__", "____%"], ["a", "ccc"]), (["%"], []), (["_%"], []), (["_____"], ["a", "bb", "ccc", "dddd"])):
+        got = filters.exclude_by_pattern_table(df, spark.createDataFrame([(p,) for p in patterns], "pattern string"), ["oid"])
+        assert {r["table_name"] for r in got.collect()} == set(left)
+        assert not got.where("false").collect()
+
+
 def test_targets(spark):
     df = spark.createDataFrame([("public",), ("app",), ("ops",)], "schema_name string")
     assert filters.target_schemas(df, None).count() == 3
