@@ -190,6 +190,31 @@ def type_limits(c: Catalog) -> DataFrame:
     return aud.audit(tables(c), LIMITS)
 
 
+TYPE_TEXTS = [
+    Contract(aud.TYPE_LIMIT, "orders", ("o_custkey",), "int2"),
+    Contract(aud.TYPE_LIMIT, "orders", ("o_totalprice",), "numeric(5)"),
+    Contract(aud.TYPE_LIMIT, "orders", ("o_orderkey",), "int8"),
+    Contract(aud.TYPE_LIMIT, "orders", ("o_orderdate",), "timestamp"),
+    Contract(aud.TYPE_LIMIT, "embeddings", ("embedding",), "numeric(3,3)[]"),
+    Contract(aud.TYPE_LIMIT, "part_names", ("words",), "varchar(4)[]"),
+    Contract(aud.TYPE_LIMIT, "part_names", ("words",), "text[]"),
+]
+TYPE_TEXT_RULES = [
+    ("orders", "o_custkey > 32767 or o_custkey < -32768"), ("orders", "abs(round(o_totalprice)) >= 100000"), ("orders", "false"),
+    ("orders", "false"), ("embeddings", "len(list_filter(embedding, lambda e: abs(round(e, 3)) >= 1)) > 0"),
+    ("part", "len(list_filter(string_split(p_name, ' '), lambda w: length(w) > 4)) > 0"), ("part", "false"),
+]
+
+
+@check("aud_7_type_texts", " union all ".join(
+    f"select '{c.label}' as contract, '{c.kind}' as kind, '{c.table}' as table_name, '{', '.join(c.columns)}' as columns,"
+    f" count(*) as checked_rows, count(*) filter (where {rule}) as violations from {origin}"
+    for c, (origin, rule) in zip(TYPE_TEXTS, TYPE_TEXT_RULES)))
+def type_texts(c: Catalog) -> DataFrame:
+    words = c.table("part").select(F.split("p_name", " ").alias("words"))
+    return aud.audit({**{t: c.table(t) for t in ("orders", "embeddings")}, "part_names": words}, TYPE_TEXTS)
+
+
 @check("aud_7_longest_texts", """
 select 'part' as table_name, 'p_name' as column_name, max(length(p_name)) as max_length from part
 union all select 'part', 'p_type', max(length(p_type)) from part""")
@@ -270,7 +295,7 @@ def warn_once(c: Catalog) -> DataFrame:
 @check("str_1_warn_once_within_watermark",
        with_clause("cat_log") + "select distinct schema_name, table_name, column_name from cat_log")
 def warn_once_within(c: Catalog) -> DataFrame:
-    stream = streaming.once_per_key_within(log_stream(c), WARN_KEY, "ts", "3650 days")
+    stream = streaming.once_per_key_within(log_stream(c), WARN_KEY, "ts", "3650 days", "event_id")
     return streaming.run_available(stream, "warn-within")
 
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from typing import NamedTuple
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -68,17 +69,32 @@ _SPARK_TYPES = {
 }
 
 
-def spark_type(described: str) -> str:
-    """Spark DDL type for a described type such as `varchar(20)`, `numeric(10,2)` or `int4[]`."""
-    if described.endswith("[]"):
-        return f"array<{spark_type(described[:-2])}>"
-    match = re.fullmatch(r"(\w+)(?:\((\d+)(?:,(\d+))?\))?", described)
+class TypeText(NamedTuple):
+    """A described type: its name, the numbers in brackets, and how many arrays are around it."""
+
+    name: str
+    first: int | None = None   # length or precision
+    second: int | None = None  # scale
+    arrays: int = 0
+
+
+def parse_type(described: str) -> TypeText:
+    """`varchar(20)`, `numeric(10,2)`, `numeric(6)`, `int4[]`, `double precision` and the like."""
+    match = re.fullmatch(r"(\w+(?: \w+)*)(?:\((\d+)(?:, ?(\d+))?\))?((?:\[\])*)", described.strip())
     if match is None:
         raise ValueError(f"not a type text: {described!r}")
-    name, first, second = match.groups()
+    name, first, second, arrays = match.groups()
+    return TypeText(name, first and int(first), second and int(second), len(arrays) // 2)
+
+
+def spark_type(described: str) -> str:
+    """Spark DDL type for a described type such as `varchar(20)`, `numeric(10,2)` or `int4[]`."""
+    name, first, second, arrays = parse_type(described)
     if name == "numeric":
-        precision, scale = int(first or 38), int(second or 0)
+        precision, scale = first or 38, second or 0
         if precision > 38:
             raise ValueError(f"precision above 38: {described!r}")
-        return f"decimal({precision},{scale})"
-    return _SPARK_TYPES[name]
+        kind = f"decimal({precision},{scale})"
+    else:
+        kind = _SPARK_TYPES[name]
+    return "array<" * arrays + kind + ">" * arrays

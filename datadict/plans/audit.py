@@ -9,7 +9,6 @@ travels as one row per task.
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterable, Mapping, Sequence
 from dataclasses import dataclass
 from functools import reduce
@@ -18,7 +17,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from datadict.functions import texts
+from datadict.functions import texts, types
 from datadict.sources import lake
 
 NOT_NULL, CHECK, GENERATED, TYPE_LIMIT = "NOT NULL", "CHECK", "GENERATED", "TYPE LIMIT"
@@ -49,19 +48,42 @@ def _null_any(columns: Sequence[str]) -> Column:
     return reduce(lambda a, b: a | b, [F.col(c).isNull() for c in columns])
 
 
-def type_violation(column: str, type_text: str) -> Column:
-    """True where the value does not fit `varchar(n)`, `char(n)` or `numeric(p,s)`."""
-    c = F.col(column)
-    sized = re.fullmatch(r"(?:varchar|char|bpchar)\((\d+)\)", type_text)
-    if sized:
-        return F.coalesce(F.char_length(c) > int(sized[1]), F.lit(False))
-    digits = re.fullmatch(r"numeric\((\d+),(\d+)\)", type_text)
-    if digits:
-        precision, scale = int(digits[1]), int(digits[2])
+# Types of limited length, and bits of the whole-number types.
+_SIZED = ("varchar", "char", "bpchar", "character", "character varying")
+_WHOLE = {"int2": 16, "smallint": 16, "int4": 32, "int": 32, "integer": 32, "int8": 64, "bigint": 64}
+
+
+def _value_violation(value: Column, kind: types.TypeText) -> Column | None:
+    """True where a value does not fit; None for a type that limits nothing."""
+    if kind.name in _SIZED and kind.first is not None:
+        return F.char_length(value) > kind.first
+    if kind.name == "numeric" and kind.first is not None:
+        scale = kind.second or 0
         # It must keep within the digits left of the point after rounding to the scale.
-        whole = F.lit(10 ** (precision - scale)).cast("decimal(38,0)")
-        return F.coalesce(F.abs(F.round(c, scale)) >= whole, F.lit(False))
-    raise ValueError(f"no limit in type text: {type_text!r}")
+        whole = F.lit(10 ** (kind.first - scale)).cast("decimal(38,0)")
+        return F.abs(F.round(value, scale)) >= whole
+    if kind.name in _WHOLE:
+        beyond = F.lit(str(2 ** (_WHOLE[kind.name] - 1))).cast("decimal(38,0)")
+        rounded = F.round(value, 0)
+        return (rounded >= beyond) | (rounded < -beyond)
+    return None
+
+
+def type_violation(column: str, type_text: str) -> Column:
+    """True where the value, or a value inside the array, does not fit the described type.
+
+    Lengths, digits and ranges of whole numbers are limits; other types hold every value. Null fits.
+    The column has the type's Spark type or a wider one.
+    """
+    kind = types.parse_type(type_text)
+    if _value_violation(F.lit(None), kind) is None:
+        return F.lit(False)
+
+    def broken(value: Column, arrays: int) -> Column:
+        hit = F.exists(value, lambda v: broken(v, arrays - 1)) if arrays else _value_violation(value, kind)
+        return F.coalesce(hit, F.lit(False))
+
+    return broken(F.col(column), kind.arrays)
 
 
 def row_violation(c: Contract) -> Column:

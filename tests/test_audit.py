@@ -61,7 +61,25 @@ def test_type_limits(tables):
     assert violations(tables, Contract(aud.TYPE_LIMIT, "t", ("x",), "numeric(4,2)")) == (5, 1)  # 99.996 rounds to 100
     assert violations(tables, Contract(aud.TYPE_LIMIT, "t", ("x",), "numeric(3,2)")) == (5, 3)
     with pytest.raises(ValueError):
-        aud.type_violation("s", "text")
+        aud.type_violation("s", "varchar(2")
+
+
+@pytest.mark.parametrize("type_text, good, bad", [
+    ("varchar(3)", "abc", "abcd"), ("char(1)", "a", "ab"), ("bpchar(2)", "äö", "äöü"), ("bit(8)", "x" * 9, None),
+    ("numeric(4,2)", 99.99, 100.0), ("numeric(3)", 999.4, 999.5), ("numeric", 1e30, None),
+    ("int2", 32767.4, 32767.5), ("int4", -2147483648.0, -2147483649.0), ("int8", 9.2e18, 9.3e18),
+    ("varchar(2)[]", ["ab", None], ["a", "abc"]), ("bpchar(2)[]", [], ["abc"]), ("numeric(3,1)[]", [99.9], [1.0, 99.96]),
+    ("int2[]", [1.0, None], [40000.0]), ("int4[][]", [[1.0], []], [[1.0], [3e9]]), ("text", "x" * 999, None),
+    ("varchar", "x" * 999, None), ("bool", True, None), ("timestamptz", "2024", None), ("uuid", "u", None), ("jsonb[]", ["{}"], None),
+])
+def test_every_type_text(spark, type_text, good, bad):
+    kind = "string" if isinstance(good, (str, bool)) else "double"
+    if isinstance(good, list):
+        kind = "string" if "char" in type_text or "json" in type_text else "double"
+        kind = "array<" * type_text.count("[]") + kind + ">" * type_text.count("[]")
+    good = str(good) if isinstance(good, bool) else good
+    df = spark.createDataFrame([(good, False), (None, False)] + ([] if bad is None else [(bad, True)]), f"v {kind}, want boolean")
+    assert [r["got"] == r["want"] for r in df.select("want", aud.type_violation("v", type_text).alias("got")).collect()] == [True] * df.count()
 
 
 def test_empty_table_reports_zero(spark):
