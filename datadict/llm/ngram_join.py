@@ -75,11 +75,16 @@ def _counted(documents: DataFrame, bound: Bound):
         import pyarrow as pa
         from pyspark import TaskContext
 
-        found = np.zeros(COUNTERS, np.int64)
+        found, held, size = np.zeros(COUNTERS, np.int64), [np.zeros(0, np.int64)], 0
         for batch in batches:
             for _, data, offsets in text_slices(batch.column(0)):
-                sets = list(shingle_sets(words_of(data, offsets, True), words))
-                found += np.bincount((np.concatenate(sets) >> np.uint64(44)).astype(np.int64), minlength=COUNTERS)
+                for grams in shingle_sets(words_of(data, offsets, True), words):
+                    held.append((grams >> np.uint64(44)).astype(np.int64))
+                    size += len(grams)
+                if size > COUNTERS // 4:
+                    found += np.bincount(np.concatenate(held), minlength=COUNTERS)
+                    held, size = held[:1], 0
+        found += np.bincount(np.concatenate(held), minlength=COUNTERS)
         if found.any():
             capped = np.minimum(found, 0xFFFFFFFF).astype("<u4")
             yield pa.RecordBatch.from_arrays([

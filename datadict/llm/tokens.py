@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 import os
 import re
 from array import array
@@ -34,10 +35,18 @@ def id_encoder(path: str | None):
     """
     os.environ["TOKENIZERS_PARALLELISM"] = "false"
     import numpy as np
-    from tokenizers import Tokenizer
-
-    tokenizer = Tokenizer.from_file(path or default_tokenizer())
+    from tokenizers import Tokenizer, pre_tokenizers
+
+    path = path or default_tokenizer()
+    tokenizer = Tokenizer.from_file(path)
+    _check(tokenizer, path)
+    # Lower-case words of letters between blanks need no normalizer, and are split by the blanks alone.
+    split_only = Tokenizer.from_file(path)
+    split_only.normalizer = None
+    split_only.pre_tokenizer = pre_tokenizers.Sequence([
+        pre_tokenizers.WhitespaceSplit(), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
     encode_all = getattr(tokenizer, "encode_batch_fast", tokenizer.encode_batch)
+    encode_words = getattr(split_only, "encode_batch_fast", split_only.encode_batch)
     ends_word = np.zeros(tokenizer.get_vocab_size() + 1, bool)
     for token, i in tokenizer.get_vocab().items():
         ends_word[i] = token.endswith("</w>")
@@ -48,22 +57,22 @@ def id_encoder(path: str | None):
             yield array("I", found.ids).tobytes()
 
     def together(words: list[str]) -> list[bytes]:
-        ids = np.array(encode_all([" ".join(words)], add_special_tokens=False)[0].ids, dtype="<u4")
+        ids = np.array(encode_words([" ".join(words)], add_special_tokens=False)[0].ids, dtype="<u4")
         ends = 4 * (np.flatnonzero(ends_word[ids]) + 1)
         if len(ends) != len(words):
             return list(one_by_one(words))
         held, ends = ids.tobytes(), [0, *ends.tolist()]
         return [held[a:b] for a, b in zip(ends, ends[1:])]
 
-    def parts_of(text: str) -> list[str]:
-        if not _NOT_PLAIN.search(text):
+    def parts_of(text: str, plain: bool) -> list[str]:
+        if plain:
             text = text.lower()
         return text.replace("\n", " ").replace("\t", " ").replace("\r", " ").split(" ")
 
-    def learn(missing: set[str]) -> None:
+    def learn(missing: set[str], plain_parts: set[str]) -> None:
         words, others, stopped = set(), [], []
         for p in missing:
-            plain = not _NOT_PLAIN.search(p)
+            plain = p in plain_parts or (p == p.lower() and not _NOT_PLAIN.search(p))
             if plain and p.isalpha():
                 words.add(p)
             elif plain and p[-1:] in (".", ",") and p[:-1].isalpha():
@@ -81,12 +90,14 @@ def id_encoder(path: str | None):
     marks = dict(cache)
 
     def encode(texts: list[str]) -> list[bytes]:
-        split = [parts_of(t) for t in texts]
+        plain = [not _NOT_PLAIN.search(t) for t in texts]
+        split = [parts_of(t, p) for t, p in zip(texts, plain)]
         if len(cache) > CACHED_PARTS:
             cache.clear()
             cache.update(marks)
-        missing = set().union(*split).difference(cache)
-        learn(missing)
+        plain_parts = set().union(*(parts for parts, p in zip(split, plain) if p)).difference(cache)
+        missing = set().union(*(parts for parts, p in zip(split, plain) if not p)).difference(cache) | plain_parts
+        learn(missing, plain_parts)
         out = [b"".join(map(cache.__getitem__, parts)) for parts in split]
         for p in missing:
             if len(p) > LONGEST_CACHED:
@@ -96,6 +107,15 @@ def id_encoder(path: str | None):
     return encode
 
 
+def _check(tokenizer, path: str) -> None:
+    """Only a tokenizer that drops white space, lower-cases and marks the ends of words can be cached by parts."""
+    said = json.loads(tokenizer.to_str())
+    steps = json.dumps(said.get("pre_tokenizer"))
+    if said["model"].get("end_of_word_suffix") != "</w>" or "Lowercase" not in json.dumps(said.get("normalizer")) \
+            or "ByteLevel" not in steps:
+        raise ValueError(f"not a lower-casing tokenizer with word ends: {path}")
+
+
 def text_groups(texts: list[str], chars: int = 1 << 20):
     """Consecutive (first, last) ranges of about so many characters, so that work on a batch stays small."""
     first, held = 0, 0

@@ -12,6 +12,8 @@ from typing import NamedTuple
 import numpy as np
 import pyarrow as pa
 
+PIECE = 1 << 18
+
 _P = 0x9E3779B97F4A7C15 | 1
 _P_INVERSE = pow(_P, -1, 1 << 64)
 _MULTIPLIERS = (0xBF58476D1CE4E5B9, 0x94D049BB133111EB, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB,
@@ -28,7 +30,7 @@ def mix64(x: np.ndarray) -> np.ndarray:
     return x
 
 
-def text_slices(column: pa.Array, size: int = 1 << 21) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+def text_slices(column: pa.Array, size: int = PIECE) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
     """(first row, bytes, offsets) of consecutive rows of about `size` bytes; nulls are empty texts."""
     column = column.cast(pa.large_string()).fill_null("")
     if not len(column):
@@ -54,8 +56,27 @@ class Words(NamedTuple):
     bounds: np.ndarray
 
 
+def _running_hashes(data: np.ndarray, start: np.ndarray, end: np.ndarray, tables: dict) -> np.ndarray:
+    """Hashes of the words that lie in `data`, from one running polynomial over its bytes."""
+    n = len(data)
+    if len(tables.get("power", ())) <= n:
+        for name, factor in (("power", _P), ("inverse", _P_INVERSE)):
+            tables[name] = np.full(n + 1, factor, np.uint64)
+            tables[name][0] = 1
+            np.multiply.accumulate(tables[name], out=tables[name])
+    running = np.zeros(n + 1, np.uint64)
+    np.add(data, np.uint64(1), out=running[1:])
+    running[1:] *= tables["power"][:n]
+    np.cumsum(running[1:], out=running[1:])
+    return mix64((running[end] - running[start]) * tables["inverse"][start] + (end - start).astype(np.uint64))
+
+
 def words_of(data: np.ndarray, offsets: np.ndarray, lower: bool, longest: int = 0) -> Words:
-    """`lower` maps A-Z; words longer than `longest` bytes, if given, are cut into parts of that length."""
+    """`lower` maps A-Z; words longer than `longest` bytes, if given, are cut into parts of that length.
+
+    Bytes are hashed in pieces of `PIECE` bytes that end with a word, so a long text needs little more
+    memory than its words' numbers.
+    """
     n, texts = len(data), len(offsets) - 1
     table = np.ones(256, bool)
     table[[9, 10, 11, 12, 13, 32]] = False
@@ -63,27 +84,24 @@ def words_of(data: np.ndarray, offsets: np.ndarray, lower: bool, longest: int =
     solid[1:-1] = table[data]
     edge = np.zeros(n + 1, bool)
     edge[offsets] = True
-    begins = solid[1:-1] & (~solid[:-2] | edge[:-1])
-    if longest:
-        at = np.arange(n)
-        since = at - np.maximum.accumulate(np.where(begins, at, 0))
-        begins |= solid[1:-1] & (since % longest == 0)
-        edge[:-1] |= begins
-    start = np.flatnonzero(begins)
+    start = np.flatnonzero(solid[1:-1] & (~solid[:-2] | edge[:-1]))
     end = np.flatnonzero(solid[1:-1] & (~solid[2:] | edge[1:])) + 1
+    if longest and len(start) and (end - start).max() > longest:
+        parts = -(-(end - start) // longest)
+        within = np.arange(parts.sum()) - np.repeat(np.cumsum(parts) - parts, parts)
+        start = np.repeat(start, parts) + longest * within
+        end = np.minimum(start + longest, np.repeat(end, parts))
     if lower:
         fold = np.arange(256, dtype=np.uint8)
         fold[65:91] += 32
         data = fold[data]
-    power = np.full(n + 1, _P, np.uint64)
-    power[0] = 1
-    np.multiply.accumulate(power, out=power)
-    running = np.zeros(n + 1, np.uint64)
-    np.cumsum((data.astype(np.uint64) + np.uint64(1)) * power[:-1], out=running[1:])
-    inverse = np.full(n + 1, _P_INVERSE, np.uint64)
-    inverse[0] = 1
-    np.multiply.accumulate(inverse, out=inverse)
-    code = mix64((running[end] - running[start]) * inverse[start] + (end - start).astype(np.uint64))
+    code, tables, first = np.zeros(len(start), np.uint64), {}, 0
+    while first < len(start):
+        at = start[first]
+        last = max(int(np.searchsorted(end, at + PIECE, side="right")), first + 1)
+        piece = slice(first, last)
+        code[piece] = _running_hashes(data[at:end[last - 1]], start[piece] - at, end[piece] - at, tables)
+        first = last
     text = np.searchsorted(offsets, start, side="right") - 1
     return Words(code, start, end, text, np.searchsorted(text, np.arange(texts + 1)))
 

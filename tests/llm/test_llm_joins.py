@@ -11,7 +11,9 @@ import pytest
 from datadict.llm import ngram_join, packing, substring
 from datadict.llm.components import components
 from datadict.llm.tables import Scratch
+from datadict.llm import words as words_module
 from datadict.llm.tokens import default_tokenizer, id_encoder
+from datadict.llm.words import text_slices, words_of
 
 
 def corpus(seed, n=60):
@@ -194,6 +196,50 @@ def test_packed_documents(spark):
     assert packing.packed_documents(spark.createDataFrame([], "doc_id long, text string")).count() == 0
 
 
+def test_other_tokenizers_are_refused():
+    import public_tokenizers
+
+    with pytest.raises(ValueError, match="not a lower-casing tokenizer"):
+        id_encoder(public_tokenizers.path("byte_bpe_50k.json"))
+
+
+def test_words_of_long_texts(monkeypatch):
+    """Pieces and cut words give the hashes that one piece gives."""
+    import pyarrow as pa
+
+    rng = random.Random(8)
+    texts = ["".join(rng.choice("aB é\n") for _ in range(n)) + "x" * m for n, m in ((0, 0), (5, 0), (3000, 40), (900, 700), (0, 9))]
+    for longest in (0, 7):
+        for size in (64, 1 << 18):
+            monkeypatch.setattr(words_module, "PIECE", size)
+            made = [words_of(data, offsets, True, longest) for _, data, offsets in text_slices(pa.array(texts), 1 << 18)]
+            assert len(made) == 1
+            got = [made[0].hash[a:b].tolist() for a, b in zip(made[0].bounds, made[0].bounds[1:])]
+            want = []
+            for t in texts:
+                raw = [w for w in t.encode().translate(bytes.maketrans(b"B", b"b")).split()]
+                want.append([w[i:i + (longest or len(w))] for w in raw for i in range(0, len(w), longest or len(w))])
+            assert [len(g) for g in got] == [len(w) for w in want]
+            flat = {}
+            for g, w in zip(sum(got, []), sum(want, [])):
+                assert flat.setdefault(w, g) == g
+            assert len(set(flat.values())) == len(flat)
+
+
+def test_a_long_text_needs_little_memory():
+    import tracemalloc
+
+    import pyarrow as pa
+
+    column = pa.array(["some words of a long text " * 400_000])  # 10 MB
+    tracemalloc.start()
+    for _, data, offsets in text_slices(column):
+        words_of(data, offsets, True)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 30 * len(column[0].as_py())
+
+
 def test_encoder_equals_the_tokenizer():
     from tokenizers import Tokenizer
 

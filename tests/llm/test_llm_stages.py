@@ -102,6 +102,37 @@ def test_mixing_edges(spark):
     assert abs(many.count() - 3000) < 400
 
 
+def test_mixing_keeps_columns_of_its_own_names(spark):
+    rows = [(i, "t", "en", "a", 1, f"c{i}", -i, "m") for i in range(50)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long,"
+                                       " copy string, mix_key long, mix_source string").repartition(3)
+    out = mixing.mix(docs, size=2.0)
+    assert out.columns == [*docs.columns, "_copy", "_mix_key"]
+    assert {(r["doc_id"], r["copy"], r["mix_key"], r["mix_source"]) for r in out.collect()} <= {(r[0], *r[5:]) for r in rows}
+
+
+def test_mixing_of_large_means(spark):
+    """The steps span the mean's deviations only, and give the distribution of the exact sums."""
+    import math as m
+
+    table = spark.createDataFrame([("x", 900.0), ("y", 1e8), ("z", 3.5), ("w", 250.0)], "mix_source string, rate double")
+    for r in mixing.cumulative(table).collect():
+        rate = {"x": 900.0, "y": 1e8, "z": 3.5, "w": 250.0}[r["mix_source"]]
+        assert len(r["steps"]) <= 25 * m.sqrt(rate) + 45 and abs(r["steps"][-1] - 1) < 1e-6
+        if rate < 1e6:
+            total, want = 0.0, []
+            for k in range(r["first"] + len(r["steps"])):
+                total += m.exp(-rate + k * m.log(rate) - m.lgamma(k + 1))
+                want.append(total)
+            assert max(abs(a - b) for a, b in zip(r["steps"], want[r["first"]:])) < 1e-9
+
+
+def test_null_ids_draw_by_their_texts(spark):
+    rows = [(None, f"text {i}", "en", "a", 1) for i in range(400)]
+    out = mixing.mix(documents(spark, rows, DOCS), size=2.0).collect()
+    assert len({r["mix_key"] for r in out}) == len(out) and len(Counter(Counter(r["text"] for r in out).values())) > 3
+
+
 # --- the whole pipeline on a small table --------------------------------------------------------
 
 def sql_of(con, text, rows):
