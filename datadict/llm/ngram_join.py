@@ -118,12 +118,10 @@ def _set_key(grams) -> int:
     return mixed
 
 
-def _described(documents: DataFrame, bound: Bound, counts) -> DataFrame:
-    """Per document its set's key and size, its parities and its first columns."""
+def _described(documents: DataFrame, bound: Bound, held) -> DataFrame:
+    """Per document its set's key and size, its parities and its first columns. `held`: the counters, 4 MB."""
     import numpy as np
 
-    held = documents.sparkSession.sparkContext.broadcast(counts)  # 4 MB
-
     def run(batches: Iterator) -> Iterator:
         import pyarrow as pa
 
@@ -340,8 +338,9 @@ def joined(documents: DataFrame, bound: Bound = Bound(), doc_id: str = "doc_id",
     scratch, kept = Scratch(spark), Scratch(spark)
     body = F.col(f"`{text}`").cast("string")
     docs = documents.select(F.col(f"`{doc_id}`").alias("doc_id"), F.xxhash64(body).alias("text_key"), body.alias("text"))
-    counts = _counted(docs, bound)
+    counts = spark.sparkContext.broadcast(_counted(docs, bound))
     described = scratch.store(_described(docs, bound, counts), "described")
+    counts.unpersist()
     classes = scratch.store(described.where("n > 0").groupBy("row").agg(
         F.min("doc_id").alias("id"), F.first("n").alias("n"), F.first("cells").alias("cells"),
         F.first("columns").alias("columns")), "classes")
