@@ -34,7 +34,7 @@ from pyspark.sql import functions as F
 from datadict.llm.components import components
 from datadict.llm.registry import free_name
 from datadict.llm.tables import Scratch, bit_field, in_field, slot_of
-from datadict.llm.words import mix64, shingle_sets, text_slices, words_of
+from datadict.llm.words import give_back, mix64, shingle_sets, text_slices, words_of
 from datadict.storage import store
 
 COUNTERS = 1 << 20
@@ -92,6 +92,7 @@ def _counted(documents: DataFrame, bound: Bound):
                 pa.array([TaskContext.get().partitionId() // FAN_IN] * COUNTER_PARTS, pa.int32()),
                 pa.array([capped[i * part:(i + 1) * part].tobytes() for i in range(COUNTER_PARTS)], pa.binary()),
             ], ["part", "upper", "counts"])
+        give_back()
 
     def total(rows: pd.DataFrame) -> pd.DataFrame:
         out = np.zeros(part, np.uint64)
@@ -150,6 +151,7 @@ def _described(documents: DataFrame, bound: Bound, held) -> DataFrame:
                     pa.array(keys, pa.int64()), pa.array(sizes, pa.int64()), pa.array(cells, pa.binary()),
                     pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate(columns), pa.int64())),
                 ], ["doc_id", "text_key", "row", "n", "cells", "columns"])
+        give_back()
 
     kind = documents.schema["doc_id"].dataType.simpleString()
     return documents.select("doc_id", "text_key", "text").mapInArrow(
@@ -261,6 +263,8 @@ def _candidates(members: DataFrame, bound: Bound, take: str) -> DataFrame:
             found.update(pairs(rows, block[1] == block[2]))
         if found:
             yield written(found)
+        del found, rows
+        give_back()
 
     dealt = members.repartition("column", "lo", "hi").sortWithinPartitions("column", "lo", "hi")
     return dealt.mapInArrow(run, "a bigint, b bigint").distinct()
@@ -303,6 +307,7 @@ def _linked(pairs: DataFrame, classes: DataFrame, documents: DataFrame, bound: B
                 yield pa.RecordBatch.from_arrays([
                     pa.array([_set_key(g) for g in grams], pa.int64()), pa.array([g.tobytes() for g in grams], pa.binary()),
                 ], ["row", "grams"])
+        give_back()
 
     def overlaps(batches: Iterator) -> Iterator:
         import pyarrow as pa
@@ -316,6 +321,7 @@ def _linked(pairs: DataFrame, classes: DataFrame, documents: DataFrame, bound: B
                 overlap = int(np.count_nonzero(x[at] == y))
                 keep.append(100 * overlap >= bound.percent * (len(x) + len(y) - overlap))
             yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
+        give_back()
 
     made = documents.select(slot_of(F.col("doc_id")).alias("slot"), "text").mapInArrow(sets, "row bigint, grams binary")
     made = made.join(chosen.select("row"), "row").dropDuplicates(["row"])

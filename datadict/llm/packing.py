@@ -23,6 +23,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from datadict.llm.tokens import id_encoder, text_groups
+from datadict.llm.words import give_back
 from datadict.storage import store
 
 CAPACITY = 2048
@@ -147,6 +148,8 @@ def cut(documents: DataFrame, doc_id: str = "doc_id", text: str = "text", capaci
                     columns.append(pa.array(ids, pa.binary()))
                     names.append("ids")
                 yield pa.RecordBatch.from_arrays(columns, names)
+        del encode
+        give_back()
 
     slim = documents.select(F.col(f"`{doc_id}`").alias("doc_id"), F.col(f"`{text}`").cast("string").alias("text"))
     return slim.mapInArrow(run, _piece_schema(slim.schema["doc_id"].dataType, with_ids))

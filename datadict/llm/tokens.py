@@ -41,8 +41,7 @@ def id_encoder(path: str | None):
     tokenizer = Tokenizer.from_file(path)
     _check(tokenizer, path)
     # Lower-case words of letters between blanks need no normalizer, and are split by the blanks alone.
-    split_only = Tokenizer.from_file(path)
-    split_only.normalizer = None
+    split_only = Tokenizer(tokenizer.model)
     split_only.pre_tokenizer = pre_tokenizers.Sequence([
         pre_tokenizers.WhitespaceSplit(), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
     encode_all = getattr(tokenizer, "encode_batch_fast", tokenizer.encode_batch)
