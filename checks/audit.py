@@ -239,6 +239,13 @@ def key_classes(c: Catalog) -> DataFrame:
     return aud.key_classes(tables(c), DECLARED)
 
 
+@check("aud_8_key_candidates", f"""
+select table_name, column_name, row_count, null_count, distinct_count = row_count - null_count as is_unique,
+  case when distinct_count = row_count and row_count > 0 then 'KEY' else 'PLAIN' end as observed from ({_lake_sql()})""")
+def key_candidates(c: Catalog) -> DataFrame:
+    return aud.key_candidates(tables(c)).drop("ruled_out")
+
+
 @check("aud_9_sequences", _union([f"""
 select '{t}' as table_name, '{k}' as column_name, cast(min({k}) as bigint) as min_value, cast(max({k}) as bigint) as max_value,
   count(distinct {k}) as distinct_count, cast(max({k}) - min({k}) + 1 - count(distinct {k}) as bigint) as gaps,

@@ -62,6 +62,21 @@ def definition_texts(c: Catalog) -> DataFrame:
                        F.col("create_view").isNotNull().alias("is_view"))
 
 
+# A view's bytes, with a sequence that is no UTF-8 before and after: the bytes, and the text they become.
+BROKEN = {0: ("FF", "\ufffd"), 1: ("E282", "\ufffd"), 2: ("C0AF", "\ufffd\ufffd"), 3: ("C3A9", "é"), 4: ("F0908D", "\ufffd")}
+
+
+@check("src_3_broken_bytes", with_clause("cat_views") + """
+select oid, mark || view_query || mark as ddl_text from cat_views join (values """ + ", ".join(
+    f"({rest}, '{text}')" for rest, (_, text) in BROKEN.items()) + """) v(rest, mark) on rest = oid % 5""")
+def broken_bytes(c: Catalog) -> DataFrame:
+    """Definition texts that arrive as bytes, with invalid ones at both ends."""
+    mark = F.element_at(F.create_map(*[F.lit(x) for rest, (code, _) in BROKEN.items() for x in (rest, code)]),
+                        F.pmod(F.col("oid"), F.lit(len(BROKEN))).cast("int"))
+    body = F.concat(F.unhex(mark), F.col("view_query").cast("binary"), F.unhex(mark))
+    return c.view("cat_views").select("oid", decode.ddl_text(body, F.lit(None).cast("binary")).alias("ddl_text"))
+
+
 def _lake_sql() -> str:
     """Profile of every column of the given tables, from their documented schemas."""
     columns = {
@@ -498,7 +513,9 @@ def _bytes(*columns: str) -> str:
     return " + ".join(f"coalesce(strlen(\"{c}\"), 0)" for c in columns)
 
 
-SIZES_SQL = sql.dictionary() + f""",
+def sizes_cte(start: str) -> str:
+    """Bytes of every row of the dictionary's parts."""
+    return start + f"""
 sizes as (
   select source_id, schema_name, table_name, 256 + {_bytes("table_name", "table_type", "engine", "row_format", "collation", "comment")} as b from d_tables
   union all select source_id, schema_name, table_name, 216 + {_bytes("column_name", "column_type", "nullable", "default_value", "charset", "collation", "column_key", "extra", "comment")} from d_columns
@@ -508,6 +525,9 @@ sizes as (
 """
 
 
+SIZES_SQL = sql.dictionary() + sizes_cte(",")
+
+
 def size_text_sql(n: str) -> str:
     """Tenths of a unit, ties to even, in whole numbers."""
 

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from checks import check, sql
-from checks.catalog import OID, PATTERNS, _flat_records, fleet
+from checks.catalog import OID, PATTERNS, _flat_records, fleet, sizes_cte
 from datadict.operators import filters, ordered
 from datadict.plans import dictionary as dic
 from datadict.plans import documents as doc
@@ -212,14 +212,33 @@ all_lines as (
 """
 
 
-def scripts(c: Catalog) -> tuple[DataFrame, DataFrame]:
-    tables = dic.kept_tables(c.fleet_tables(), except_patterns=PATTERNS)
-    made, failed = _postgres_ddl(c)
+def _dumped(c: Catalog, tables: DataFrame) -> DataFrame:
+    """Script texts that came whole: of MySQL, and of the views of PostgreSQL."""
     mysql, postgres = c.stored().mysql(), c.stored().postgres()
     dumped = dic.locate(mysql["show_create"], tables, OID).select(
         *dic.TABLE, F.coalesce("create_table", "create_view").alias("ddl_text"))
     views = dic.postgres_dictionary(postgres, OID, except_patterns=PATTERNS).views
-    return doc.script_lines(tables, made, failed, dumped.unionByName(doc.view_script(views, "postgres")))
+    return dumped.unionByName(doc.view_script(views, "postgres"))
+
+
+def scripts(c: Catalog) -> tuple[DataFrame, DataFrame]:
+    tables = dic.kept_tables(c.fleet_tables(), except_patterns=PATTERNS)
+    made, failed = _postgres_ddl(c)
+    return doc.script_lines(tables, made, failed, _dumped(c, tables))
+
+
+@check("agg_6_ddl_sizes", SCRIPTS + sizes_cte(",") + f""",
+texts as (
+  select {T3}, string_agg(line, chr(10) order by block, item, item_name) as t from create_lines group by {T3}
+  union all select {T3}, ddl_text from accepted join dump_texts using ({T3}))
+select {T3}, cast(sum(b) as bigint) as size_bytes, cast(sum(d) as bigint) as ddl_bytes from (
+  select {T3}, b, 0 as d from sizes
+  union all select {T3}, strlen(coalesce(t, '')), strlen(coalesce(t, '')) from texts) group by {T3}""")
+def ddl_sizes(c: Catalog) -> DataFrame:
+    tables = dic.kept_tables(c.fleet_tables(), except_patterns=PATTERNS)
+    accepted = filters.split_unsafe(tables)[0]
+    dumped = _dumped(c, tables).join(accepted.select(*dic.TABLE), list(dic.TABLE), "left_semi")
+    return dic.table_sizes_with_ddl(fleet(c, PATTERNS), dic.ddl_sizes(_postgres_ddl(c)[0], dumped))
 
 
 @check("doc_3_sql_scripts", SCRIPTS + PLACED)
@@ -241,6 +260,14 @@ def markdown_files(c: Catalog) -> DataFrame:
     return c.spark.read.text(path).selectExpr("source_id", "schema_name", "value as line")
 
 
+@check("snk_1_file_order", MARKDOWN + PLACED)
+def markdown_file_order(c: Catalog) -> DataFrame:
+    """The positions come from the files alone."""
+    path = place(c.spark, "markdown")
+    sinks.write_documents(markdown(c), path)
+    return sinks.read_documents(c.spark, path)
+
+
 @check("snk_2_script_files", SCRIPTS + "select source_id, schema_name, line from all_lines")
 def script_files(c: Catalog) -> DataFrame:
     path = place(c.spark, "scripts")
@@ -248,6 +275,13 @@ def script_files(c: Catalog) -> DataFrame:
     return c.spark.read.text(path).selectExpr("source_id", "schema_name", "value as line")
 
 
+@check("snk_2_file_order", SCRIPTS + PLACED)
+def script_file_order(c: Catalog) -> DataFrame:
+    path = place(c.spark, "scripts")
+    sinks.write_documents(scripts(c)[0], path)
+    return sinks.read_documents(c.spark, path)
+
+
 RECORDS = DICT + f"""
 select t.source_id, t.schema_name, t.table_name, t.table_type,
   coalesce(c.n, 0) as n_columns, columns, coalesce(i.n, 0) as n_indexes, indexes, coalesce(f.n, 0) as n_foreign_keys, foreign_keys

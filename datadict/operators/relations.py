@@ -18,6 +18,7 @@ from datadict.operators import filters
 from datadict.operators.ordered import LIST_SLICE, number_rows, ordered_lists, slice_of
 
 OID = ("oid",)
+UNREFERENCED = 1 << 40  # keys below zero for constraints that reference no table
 
 
 def ordered_values(position: Column, value: Column) -> Column:
@@ -54,12 +55,21 @@ def with_class(tables: DataFrame, classes: DataFrame, namespaces: DataFrame) ->
 
 def with_referenced_table(constraints: DataFrame, classes: DataFrame, namespaces: DataFrame,
                           source: Sequence[str] = ()) -> DataFrame:
-    """Foreign keys with the schema and name of the referenced table, if it is known."""
+    """Constraints with the schema and name of the referenced table, if it is known.
+
+    Most constraints reference nothing: their `confrelid` is null, or 0 in a dump of the server's own
+    catalog. One key for all of them would be one task, so each has a number below zero, which no table has.
+    """
+    references = F.col("confrelid").isNotNull()
+    if "contype" in constraints.columns:
+        references = references & (F.col("contype") == "f")
+    nothing = -1 - F.pmod(F.xxhash64(*constraints.columns), F.lit(UNREFERENCED))
     named = classes.join(
         namespaces.select(*source, F.col("oid").alias("relnamespace"), F.col("nspname").alias("ref_schema")),
         [*source, "relnamespace"], "left",
-    ).select(*source, F.col("oid").alias("confrelid"), "ref_schema", F.col("relname").alias("ref_table"))
-    return constraints.join(named, [*source, "confrelid"], "left")
+    ).select(*source, F.col("oid").cast("bigint").alias("_referenced"), "ref_schema", F.col("relname").alias("ref_table"))
+    keyed = constraints.withColumn("_referenced", F.when(references, F.col("confrelid").cast("bigint")).otherwise(nothing))
+    return keyed.join(named, [*source, "_referenced"], "left").drop("_referenced")
 
 
 # --- columns ----------------------------------------------------------------------------------

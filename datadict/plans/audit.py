@@ -25,6 +25,7 @@ PRIMARY_KEY, UNIQUE, PARTIAL_UNIQUE, FOREIGN_KEY = "PRIMARY KEY", "UNIQUE", "PAR
 _ROW_KINDS = (NOT_NULL, CHECK, GENERATED, TYPE_LIMIT)
 _KEY_KINDS = (PRIMARY_KEY, UNIQUE, PARTIAL_UNIQUE)
 
+SKETCH_ERROR, SKETCH_MARGIN = 0.02, 7  # one standard deviation, and how many of them a verdict takes
 REPORT = ("contract", "kind", "table_name", "columns", "checked_rows", "violations")
 
 
@@ -230,6 +231,43 @@ def key_classes(tables: Mapping[str, DataFrame], declared: Mapping[tuple[str, st
     )
 
 
+def key_candidates(tables: Mapping[str, DataFrame], rsd: float = SKETCH_ERROR) -> DataFrame:
+    """Which columns have no value twice: a sketch of every column first, exact counts where it may be one.
+
+    One scan per table counts rows, values and, by sketch, different values of all its columns; nothing
+    is shuffled but the sketches. A column with clearly fewer different values than values is no key. The
+    sketch errs by `rsd`, one standard deviation; a column is ruled out only beyond `SKETCH_MARGIN` of
+    them, which a key meets less than once in 10^12 columns. The others are counted exactly.
+
+    `is_unique` is about the values that are there; a key (`observed` KEY) has no null and a row.
+    """
+    spark = next(iter(tables.values())).sparkSession
+    rows, left = [], {}
+    for name, df in tables.items():
+        fields = df.schema.fields
+        keys = [lake.value_key(f) for f in fields]
+        counted = df.agg(F.count(F.lit(1)), *[F.count(F.col(f"`{f.name}`")) for f in fields],
+                         *[F.approx_count_distinct(k, rsd) for k in keys]).first()
+        total, values, sketched = counted[0], counted[1:len(fields) + 1], counted[len(fields) + 1:]
+        for f, n, about in zip(fields, values, sketched):
+            out = about * (1 + SKETCH_MARGIN * rsd) < n
+            rows.append((name, f.name, total, total - n, out))
+            if not out:
+                left.setdefault(name, []).append(f.name)
+    known = spark.createDataFrame(rows, "table_name string, column_name string, row_count bigint, null_count bigint, ruled_out boolean")
+    exact = known.select("table_name", "column_name", F.lit(True).alias("is_unique")).limit(0)
+    if left:
+        slim = {name: tables[name].select(*[f"`{c}`" for c in columns]) for name, columns in left.items()}
+        profile = lake.dictionary(slim)
+        exact = profile.select("table_name", "column_name",
+                               (F.col("distinct_count") == F.col("row_count") - F.col("null_count")).alias("is_unique"))
+    told = known.join(exact, ["table_name", "column_name"], "left").withColumn(
+        "is_unique", ~F.col("ruled_out") & F.coalesce("is_unique", F.lit(True)))
+    key = F.col("is_unique") & (F.col("null_count") == 0) & (F.col("row_count") > 0)
+    return told.select("table_name", "column_name", "row_count", "null_count", "is_unique",
+                       F.when(key, "KEY").otherwise("PLAIN").alias("observed"), "ruled_out")
+
+
 def sequence_report(df: DataFrame, table: str, column: str) -> DataFrame:
     """Range, distinct values and gaps of an auto-increment column."""
     values = df.where(F.col(column).isNotNull()).groupBy(F.col(column).cast("bigint").alias("v")).agg(

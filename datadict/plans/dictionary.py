@@ -221,6 +221,26 @@ def table_sizes(d: Dictionary) -> DataFrame:
     return own.groupBy(*TABLE).agg(F.sum("size_bytes").cast("bigint").alias("size_bytes"))
 
 
+def ddl_sizes(created: DataFrame, dumped: DataFrame) -> DataFrame:
+    """Bytes of each table's script, without building one.
+
+    `created(TABLE, line)` holds the lines of re-created scripts: a script is its lines and a line break
+    between two of them. `dumped(TABLE, ddl_text)` holds texts that came whole.
+    """
+    of_lines = created.groupBy(*TABLE).agg((F.sum(F.octet_length("line") + 1) - 1).cast("bigint").alias("ddl_bytes"))
+    of_texts = dumped.select(*TABLE, F.octet_length(F.coalesce("ddl_text", F.lit(""))).cast("bigint").alias("ddl_bytes"))
+    return of_lines.unionByName(of_texts).groupBy(*TABLE).agg(F.sum("ddl_bytes").cast("bigint").alias("ddl_bytes"))
+
+
+def table_sizes_with_ddl(d: Dictionary, ddl: DataFrame) -> DataFrame:
+    """Table sizes with the bytes of the scripts in `ddl(TABLE, ddl_bytes)`; a table without a script adds none."""
+    sizes = table_sizes(d).select(*TABLE, "size_bytes", F.lit(0).cast("bigint").alias("ddl_bytes"))
+    known = ddl.join(d.tables.select(*TABLE), list(TABLE), "left_semi")
+    both = sizes.unionByName(known.select(*TABLE, F.col("ddl_bytes").alias("size_bytes"), "ddl_bytes"))
+    return both.groupBy(*TABLE).agg(F.sum("size_bytes").cast("bigint").alias("size_bytes"),
+                                    F.sum("ddl_bytes").cast("bigint").alias("ddl_bytes"))
+
+
 def schema_sizes(d: Dictionary) -> DataFrame:
     return table_sizes(d).groupBy("source_id", "schema_name").agg(
         F.sum("size_bytes").cast("bigint").alias("size_bytes"))

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from datadict.operators.ordered import number_rows_by_range
 from datadict.plans.dictionary import TABLE, Dictionary, records
 from datadict.plans.documents import DOCUMENT, ORDER
 from datadict.sources.dumps import CSV_OPTIONS, read_csv
@@ -27,6 +28,20 @@ def write_documents(document_lines: DataFrame, path: str) -> None:
     ordered.select(*DOCUMENT, "line").write.mode("overwrite").partitionBy(*DOCUMENT).text(path)
 
 
+def read_documents(spark: SparkSession, path: str) -> DataFrame:
+    """Lines of written documents with their place in the files: source, schema, position, line.
+
+    A document is its files in name order. Inside a file, lines follow the start of the block that a
+    task reads, and inside a block the order in which the reader meets them.
+    """
+    kinds = ", ".join(f"{c} string" for c in ("value", *DOCUMENT))
+    read = spark.read.schema(kinds).text(path).select(
+        *DOCUMENT, F.col("_metadata.file_name").alias("file"), F.col("_metadata.file_block_start").alias("block"),
+        F.monotonically_increasing_id().alias("row"), F.col("value").alias("line"))
+    kept = store(read, "read")  # row numbers are those of this one reading
+    return number_rows_by_range(kept, DOCUMENT, ["file", "block", "row"], "position").select(*DOCUMENT, "position", "line")
+
+
 def write_records(d: Dictionary, path: str) -> None:
     """Nested records, one directory per source."""
     records(d).write.mode("overwrite").partitionBy("source_id").parquet(path)

@@ -120,3 +120,21 @@ def test_key_classes(spark):
     got = {r["column_name"]: (r["observed"], r["holds"]) for r in aud.key_classes(
         {"t": t}, {("t", "k"): "PRI", ("t", "s"): "UNI", ("t", "u"): "UNI"}).collect()}
     assert got == {"k": ("KEY", True), "s": ("PLAIN", False), "u": ("PLAIN", True)}
+
+
+def test_key_candidates_by_sketch(spark):
+    """Keys, near keys and plain columns: the verdict equals exact counts, and plain columns end at the sketch."""
+    n = 20000
+    t = spark.range(n).selectExpr(
+        "id as k", "if(id = 5, 4, id) as almost", "id % 10 as plain", "if(id % 2 = 0, id, null) as sparse",
+        "array(id, 1) as pair", "cast(null as string) as none", "if(id < 2, 0.0D * (2 * id - 1), cast(id as double)) as zeros")
+    empty = spark.createDataFrame([], "z int")
+    got = {(r["table_name"], r["column_name"]): r for r in aud.key_candidates({"t": t, "e": empty}).collect()}
+    for name in t.columns:
+        values, distinct = t.selectExpr(f"count({name}) as a", f"count(distinct {name}) as b").first()
+        r = got["t", name]
+        assert r["is_unique"] == (values == distinct), name
+        assert r["observed"] == ("KEY" if values == distinct == n else "PLAIN"), name
+        assert (r["row_count"], r["null_count"]) == (n, n - values)
+    assert {c for (_, c), r in got.items() if r["ruled_out"]} == {"plain"}
+    assert got["e", "z"]["observed"] == "PLAIN" and got["e", "z"]["is_unique"]

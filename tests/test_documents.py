@@ -273,3 +273,35 @@ def test_same_lines_under_any_number_of_partitions(spark, sf_dir):
         seen.append(sorted(map(tuple, rows)))
     spark.conf.set("spark.sql.shuffle.partitions", "8")
     assert seen[0] == seen[1] and seen[0]
+
+
+def test_file_order_of_a_large_document(spark, tmp_path):
+    """A document over many files and one that shares them come back in order; blank lines count."""
+    n = 20000
+    rows = spark.range(n).selectExpr(
+        "if(id % 3 = 0, 'a', 'b') as source_id", "'7' as schema_name", "3 as section", "concat('t', id % 100) as table_name",
+        "1 as block", "id as item", "'' as item_name", "0 as line_no", "if(id % 5 = 0, '', concat('line ', id)) as line").repartition(7)
+    path = str(tmp_path / "out")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        sinks.write_documents(rows, path)
+    finally:
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "true")
+    assert len(list((tmp_path / "out" / "source_id=b").rglob("part-*"))) > 1
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "20000")  # files are read in several blocks
+    try:
+        got = sinks.read_documents(spark, path)
+        want = doc.positions(rows)
+        assert got.count() == n and got.exceptAll(want).count() == 0
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+
+
+def test_script_bytes_equal_the_scripts(spark):
+    t = ("s", "a", "t")
+    made = spark.createDataFrame([(*t, "CREATE é ("), (*t, ""), (*t, ");"), ("s", "a", "u", "")],
+                                 "source_id string, schema_name string, table_name string, line string")
+    whole = spark.createDataFrame([("s", "a", "v", "x\ny"), ("s", "a", "w", None)],
+                                  "source_id string, schema_name string, table_name string, ddl_text string")
+    got = {r["table_name"]: r["ddl_bytes"] for r in dic.ddl_sizes(made, whole).collect()}
+    assert got == {"t": len("CREATE é (\n\n);".encode()), "u": 0, "v": 3, "w": 0}

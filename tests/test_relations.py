@@ -136,3 +136,27 @@ def test_warnings_once(spark):
     log = spark.createDataFrame([(3, "s", "t", "c"), (1, "s", "t", "c"), (2, "s", "t", "d")],
                                 "event_id long, schema_name string, table_name string, column_name string")
     assert rows(rel.first_warnings(log), "column_name", "first_event_id", "occurrences") == {("c", 1, 2), ("d", 2, 1)}
+
+
+def test_constraints_without_reference_are_spread(spark):
+    """Null and 0 in `confrelid` are no hot key: each row has a key of its own, below zero."""
+    n = 5000
+    constraints = spark.range(n).selectExpr(
+        "id as oid", "concat('k', id) as conname", "if(id % 10 = 0, 'f', 'c') as contype",
+        "case when id % 10 = 0 then 7L when id % 2 = 0 then 0L end as confrelid")
+    classes = spark.createDataFrame([(7, 1, "t"), (0, 1, "zero")], "oid long, relnamespace long, relname string")
+    spaces = spark.createDataFrame([(1, "s")], "oid long, nspname string")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        got = rel.with_referenced_table(constraints, classes, spaces)
+        assert got.columns == [*constraints.columns, "ref_schema", "ref_table"]
+        plan = got._jdf.queryExecution().executedPlan().toString()
+        assert "hashpartitioning(_referenced" in plan and "hashpartitioning(confrelid" not in plan
+        shown = got.groupBy("contype", "ref_schema", "ref_table").count().collect()
+        spread = got.where("contype = 'c'").groupBy(F.spark_partition_id()).count().agg(F.max("count")).first()[0]
+        assert spread < 2 * n * 0.9 / int(spark.conf.get("spark.sql.shuffle.partitions"))
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+        spark.conf.set("spark.sql.adaptive.enabled", "true")
+    assert sorted(map(tuple, shown)) == [("c", None, None, n * 9 // 10), ("f", "s", "t", n // 10)]
