@@ -40,12 +40,16 @@ def test_shared_lines_are_a_longest_common_subsequence():
     ("<article><section class='comments'><p>c</p></section><p>kept &lt;b&gt; &nbsp; &#233;</p></article>", "kept <b> é"),
     ("<article><ul><li>a<li>b</ul><table><tr><td>1<td>2</table></article>", "a\nb\n1 2"),
     ("<article><p title='a > b'>q</p><!-- no <p> --><style>p{}</style></article>", "q"),
+    ("<article><h1 id=menu-theory>M</h1><h2 id='search'>S</h2><p class='notice-period'>n</p><div class='related-work'><p>w</p></div></article>", "M\nS\nn\nw"),
+    ("<article><p>a</p><div class='related-posts widget2'>r</div><div id='comments-list'>c</div><p class=ad>x</p></article>", "a"),
+    ("<body><form action=x><h1>T</h1><input name=q><p>body</p>Name<label>l</label><button>go</button></form></body>", "T\nbody"),
+    ("<body><p>text</p><form><p>Sign up</p></form></body>", "text"),
     ("<article><p>cut <b>off", "cut off"), ("", ""), ("plain text", "plain text"), ("<article></article>", ""),
 ])
 def test_marked_pages(spark, html, text):
-    lines, parts = html_lines.page_lines(html)
-    best = html_extract._best(parts)
-    assert "\n".join(t for t, p in zip(lines, parts) if p == best) == text
+    lines, parts, doubts = html_lines.page_lines(html)
+    said = html_extract.verdicts(parts, doubts)
+    assert "\n".join(t for t, v in zip(lines, said) if v != html_extract.FRAME) == text
 
 
 def test_page_differencing(spark):
@@ -62,6 +66,85 @@ def test_page_differencing(spark):
     assert html_extract.main_text(df.limit(0)).count() == 0
 
 
+def twin(pages):
+    """Text and deleted lines of each page, from plain loops over sorted pages."""
+    def key(url):
+        rest = url.split("://", 1)[1]
+        host, _, path = rest.partition("/")
+        return host.lower(), "/" + path.split("?")[0].split("#")[0]
+
+    def common(a, b):
+        n = 0
+        while n < min(len(a), len(b)) and a[n] == b[n]:
+            n += 1
+        return n
+
+    parsed = {i: html_lines.page_lines(html) for i, _, html in pages}
+    order = sorted((*key(url), i) for i, url, _ in pages)
+    out = {}
+    for at, (host, path, i) in enumerate(order):
+        lines, parts, doubts = parsed[i]
+        best = min((p for p in parts if p), default=html_lines.OTHER)
+        text = [p == best for p in parts]
+        sure = [t and not d and best not in (html_lines.OTHER, html_lines.FORM) for t, d in zip(text, doubts)]
+        near = [order[k] for k in (at - 1, at + 1) if 0 <= k < len(order) and order[k][0] == host]
+        near.sort(key=lambda o: -common(o[1], path))
+        own, gone, tables = {k for k, t in enumerate(text) if t}, set(), []
+        for o in near:
+            other = parsed[o[2]][0]
+            best_at = [[0] * (len(other) + 1) for _ in range(len(lines) + 1)]
+            for x in range(len(lines)):
+                for y in range(len(other)):
+                    best_at[x + 1][y + 1] = best_at[x][y] + 1 if lines[x] == other[y] else max(best_at[x][y + 1], best_at[x + 1][y])
+            x, y, both = len(lines), len(other), set()
+            while x and y:
+                if lines[x - 1] == other[y - 1]:
+                    x, y = x - 1, y - 1
+                    both.add(x)
+                elif best_at[x - 1][y] >= best_at[x][y - 1]:
+                    x -= 1
+                else:
+                    y -= 1
+            if not own or own - both:
+                tables.append(both)
+        for k, both in enumerate(tables):
+            if own and len(own & both) >= 0.8 * len(own) and k + 1 < len(tables):
+                both &= tables[k + 1]
+            gone = {x for x in both if not sure[x]}
+            if gone:
+                break
+        out[i] = ("\n".join(t for k, t in enumerate(lines) if text[k] and k not in gone), len(gone))
+    return out
+
+
+def test_page_texts_equal_a_twin(spark, sf_dir):
+    """The given pages, and made ones without marks: frames of all sizes, copies, near copies."""
+    rng, made = random.Random(3), []
+    for i in range(120):
+        host, frame = i % 4, 2 + 8 * (i % 4)
+        body = [f"<p>own {i if rng.random() < 0.8 else i - 4} {k}</p>" for k in range(rng.randrange(1, 9))]
+        frames = [f"<div>frame {host} {k}</div>" for k in range(frame)]
+        kind = "<article>{}<div class='related-work'>{}</div></article>" if i % 10 == 9 else "{}{}"
+        html = kind.format("".join(frames[:frame // 2]) + "".join(body), "".join(frames[frame // 2:]))
+        made.append((10000 + i, f"https://H{host}.org/{rng.randrange(3)}/p{i:03}?q={i}", html))
+    given = [(r["page_id"], r["url"], r["html"]) for r in spark.read.parquet(f"{sf_dir}/pages.parquet").collect()]
+    kind = "page_id long, url string, html string"
+    got = {r["page_id"]: (r["text"], r["n_deleted"]) for r in html_extract.main_text(spark.createDataFrame(made, kind)).collect()}
+    assert got == twin(made) and sum(n for _, n in got.values()) > 500
+    assert not any("frame" in t for i, (t, n) in got.items() if n and (i - 10000) % 10 != 9)
+    seen = {r["page_id"]: (r["text"], r["n_deleted"]) for r in html_extract.main_text(spark.createDataFrame(given, kind)).collect()}
+    want = twin(given)
+    assert {i: t for i, (t, _) in seen.items()} == {i: t for i, (t, _) in want.items()}
+    assert sum(n for _, n in seen.values()) == sum(n for _, n in want.values())
+
+
+def test_alignment_of_very_long_pages():
+    """Rows of the table are made again between kept ones; the memory does not grow with the product."""
+    a = [x for k in range(12000) for x in (k, -k - 1)]
+    b = [x for k in range(12000) for x in (k, 10 ** 6 + k)]
+    assert html_lines.shared_lines(a, b) == list(range(0, 24000, 2))
+
+
 # --- fingerprints -------------------------------------------------------------------------------
 
 def test_neighbours_and_edits(spark):
