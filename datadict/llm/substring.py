@@ -1,15 +1,18 @@
 """Passages that repeat across documents, exact or fuzzy, by seeds, chains and alignment.
 
-* Seeds are k-word runs of smallest hash in a sliding window, so an equal run of `SEED + WINDOW - 1`
-  words always has one. Copies of a text are one text.
+* A seed is a pair of word runs with a gap between them: a run of `GRAM` words of smallest hash in a
+  sliding window, and the run of smallest hash among the `REACH` after it. A word dropped or inserted between
+  the two leaves the seed as it was; an equal run of `NEAR + REACH + 2 * GRAM` words always has one. Copies of
+  a text are one text.
 * Each seed names one reference, the text of smallest key that has it, found by a minimum per seed. All
   other texts with the seed meet the reference only, so the matches are as many as the seeds.
 * The matches of a text with a reference are chained where both positions grow. A chain gains the
   length of a seed per match and pays for the words it skips in either text; the best predecessor comes
   from a Fenwick tree of prefix maxima over the reference's positions.
-* A chain is aligned word by word along its diagonals, with an edit distance where it changes diagonal,
-  and extended at both ends while enough words agree. Passages of `min_words` or more that agree in
-  `identity` of their words are kept.
+* A chain is aligned word by word along its diagonals, with a longest common subsequence where it changes
+  diagonal, and extended at both ends, with gaps, while enough words agree. The extension first sees the words
+  near the chain; chains that use them up are extended again with more, until none does. Passages of `min_words`
+  or more that agree in `identity` of their words are kept.
 
 Defined results: null and empty texts have no passages; a copy of a text is one passage over all its
 words, if it has `min_words`, and has the passages of its text as well; rows of equal id and equal text
@@ -20,6 +23,8 @@ words, runs of other bytes than blank, tab, newline, vertical tab, form feed and
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -27,28 +32,38 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from datadict.llm.tables import Scratch, bit_field, in_field, slot_of
-from datadict.llm.words import text_slices, windows, words_of
+from datadict.llm.words import mix64, text_slices, windows, words_of
 from datadict.storage import store
 
-SEED = 6
-WINDOW = 14
-GAP_COST = 0.1
-FLANK = 64
+GRAM = 3
+SEED = 2 * GRAM
+NEAR = 7
+REACH = 12
+GAP_COST = 0.05
+FLANK, WIDER = 64, 8  # words seen at first on both sides of a chain, and how many times more in each further round
 DROP = 12
+APART = 16
 MIN_WORDS = 50
 IDENTITY = 0.8
 PASSAGE_BATCH = 512
 
 
-def minimizers(runs: np.ndarray) -> np.ndarray:
-    """Positions of the smallest run in every window of `WINDOW` runs, the last of equal ones; of all if fewer."""
-    n = len(runs)
-    if not n:
-        return np.zeros(0, np.int64)
-    if n <= WINDOW:
-        return np.array([n - 1 - int(np.argmin(runs[::-1]))])
-    view = np.lib.stride_tricks.sliding_window_view(runs, WINDOW)
-    return np.unique(np.arange(len(view)) + WINDOW - 1 - np.argmin(view[:, ::-1], axis=1))
+def _least(values: np.ndarray, size: int) -> np.ndarray:
+    """Per window of `size` values the position of the smallest, the last of equal ones; one window if they are fewer."""
+    if len(values) <= size:
+        return np.array([len(values) - 1 - int(np.argmin(values[::-1]))])
+    view = np.lib.stride_tricks.sliding_window_view(values, size)
+    return np.arange(len(view)) + size - 1 - np.argmin(view[:, ::-1], axis=1)
+
+
+def paired_seeds(grams: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Seeds of a text and their positions, from the hashes of all its runs of `GRAM` words."""
+    if len(grams) <= GRAM:
+        return np.zeros(0, np.uint64), np.zeros(0, np.int64)
+    at = np.unique(_least(grams[:-GRAM], NEAR))
+    padded = np.concatenate([grams[GRAM:], np.full(REACH - 1, np.iinfo(np.uint64).max)])
+    second = np.lib.stride_tricks.sliding_window_view(padded, REACH)[at].min(axis=1)
+    return mix64(mix64(grams[at]) + second), at
 
 
 def _seeds(texts: DataFrame) -> DataFrame:
@@ -66,13 +81,13 @@ def _seeds(texts: DataFrame) -> DataFrame:
             batch, keys = batch.filter(pa.array(fresh)), keys[fresh]
             for first, data, offsets in text_slices(batch.column(1)):
                 words = words_of(data, offsets, True)
-                runs = windows(words.hash, SEED)
+                grams = windows(words.hash, GRAM)
                 seed, key, at = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
                 for i in range(len(offsets) - 1):
-                    a, b = words.bounds[i], words.bounds[i + 1] - SEED + 1
+                    a, b = words.bounds[i], words.bounds[i + 1] - GRAM + 1
                     if b > a:
-                        found = minimizers(runs[a:b])
-                        seed.append(runs[a:b][found])
+                        made, found = paired_seeds(grams[a:b])
+                        seed.append(made)
                         key.append(np.full(len(found), keys[first + i]))
                         at.append(found)
                 yield pa.RecordBatch.from_arrays([
@@ -144,13 +159,13 @@ def runs_of(chain: list[tuple[int, int]]) -> list[tuple[int, int, int]]:
         if out:
             a, r, n = out[-1]
             if at - a == ref - r:
-                out[-1] = (a, r, at - a + SEED)
+                out[-1] = (a, r, at - a + GRAM)
                 continue
             skip = max(0, a + n - at, r + n - ref)  # a seed that overlaps the run before it starts later
-            if skip < SEED:
-                out.append((at + skip, ref + skip, SEED - skip))
+            if skip < GRAM:
+                out.append((at + skip, ref + skip, GRAM - skip))
         else:
-            out.append((at, ref, SEED))
+            out.append((at, ref, GRAM))
     return out
 
 
@@ -190,46 +205,88 @@ def _chained(matches: DataFrame) -> DataFrame:
     return dealt.mapInArrow(run, "key bigint, ref bigint, a int, a_end int, b int, b_end int, runs array<int>")
 
 
-def _extended(equal: np.ndarray) -> int:
-    """How many words an end gains: up to the best sum of +1 per equal and -2 per other word, before it falls by DROP."""
-    if not len(equal):
-        return 0
-    total = np.cumsum(np.where(equal, 1, -2))
-    best = np.maximum.accumulate(np.maximum(total, 0))
-    fell = np.flatnonzero(best - total > DROP)
-    total = total[:fell[0]] if len(fell) else total
-    return int(np.argmax(total)) + 1 if len(total) and total.max() > 0 else 0
+# Words skipped in either text before two agree again, the cheapest first.
+STEPS = sorted(((i, j) for i in range(5) for j in range(5) if i or j), key=lambda s: (max(s), s != (1, 1), sum(s), s))
 
 
-def _equal_between(x: list[int], y: list[int]) -> int:
-    """The most words of two short stretches that can be equal in order."""
-    row = [0] * (len(y) + 1)
-    for a in x:
-        before = 0
-        for j, b in enumerate(y, 1):
-            before, row[j] = row[j], before + 1 if a == b else max(row[j], row[j - 1])
-    return row[-1]
+def grown(x: list[int], y: list[int]) -> tuple[int, int, int, bool]:
+    """How far an end grows into both texts, the words that agree there, and whether it used up a text.
 
-
-def aligned(runs: list[tuple[int, int, int]], x: np.ndarray, y: np.ndarray, x_at: int, y_at: int) -> tuple[int, int, int, int, int]:
-    """Begin and end in both texts, and the equal words; `x`, `y` are the words from `x_at`, `y_at` on."""
+    Up to the best sum of +1 per equal word and -2 per step over others, before it falls by more than DROP.
+    """
+    i = j = total = equal = 0
+    best = (0, 0, 0, 0)
+    while i < len(x) and j < len(y):
+        if x[i] == y[j]:
+            i, j, total, equal = i + 1, j + 1, total + 1, equal + 1
+            if total > best[0]:
+                best = (total, i, j, equal)
+            continue
+        for dx, dy in STEPS:
+            if len(next_x := x[i + dx:i + dx + 2]) == 2 and next_x == y[j + dy:j + dy + 2]:
+                break
+        else:
+            dx = dy = 1
+        i, j, total = i + dx, j + dy, total - 2 * max(dx, dy)
+        if best[0] - total > DROP:
+            return *best[1:], False
+    return *best[1:], True
+
+
+def equal_between(x: list[int], y: list[int]) -> int:
+    """The most words of two stretches that can be equal in order, by rows of bits."""
+    at: dict[int, int] = {}
+    for j, w in enumerate(y):
+        at[w] = at.get(w, 0) | 1 << j
+    full = v = (1 << len(y)) - 1
+    for w in x:
+        u = v & at.get(w, 0)
+        v = ((v + u) | (v - u)) & full
+    return len(y) - v.bit_count()
+
+
+def equal_along(x: np.ndarray, y: np.ndarray) -> int:
+    """Equal words of two stretches on one diagonal. A part that leaves it and returns is aligned: from a differing
+    word to the last one that has another within `APART` words before it."""
+    other = np.flatnonzero(x != y)
+    if not len(other):
+        return len(x)
+    cuts = np.flatnonzero(np.diff(other) > APART)
+    equal = len(x)
+    for a, z in zip(other[np.r_[0, cuts + 1]], other[np.r_[cuts, len(other) - 1]] + 1):
+        equal -= z - a
+        if z - a > 1:
+            equal += equal_between(x[a:z].tolist(), y[a:z].tolist())
+    return int(equal)
+
+
+class Side(NamedTuple):
+    """The words of a text that a chain sees: from which of the text's on, and how many the text has."""
+
+    words: np.ndarray
+    at: int
+    total: int
+
+
+def aligned(runs: list[tuple[int, int, int]], x: Side, y: Side) -> tuple[int, int, int, int, int, bool]:
+    """Begin and end in both texts, the equal words, and whether an end needs words that the sides leave out."""
     equal, end = 0, None
     for a, r, n in runs:
-        a, r = a - x_at, r - y_at
-        equal += int(np.count_nonzero(x[a:a + n] == y[r:r + n]))
+        a, r = a - x.at, r - y.at
+        equal += equal_along(x.words[a:a + n], y.words[r:r + n])
         if end:
-            equal += _equal_between(x[end[0]:a].tolist(), y[end[1]:r].tolist())
+            equal += equal_between(x.words[end[0]:a].tolist(), y.words[end[1]:r].tolist())
         end = (a + n, r + n)
-    a, r = runs[0][0] - x_at, runs[0][1] - y_at
-    back = min(a, r)
-    left = x[a - back:a][::-1] == y[r - back:r][::-1]
-    grown = _extended(left)
-    equal += int(np.count_nonzero(left[:grown]))
-    forth = min(len(x) - end[0], len(y) - end[1])
-    right = x[end[0]:end[0] + forth] == y[end[1]:end[1] + forth]
-    more = _extended(right)
-    equal += int(np.count_nonzero(right[:more]))
-    return a - grown + x_at, end[0] + more + x_at, r - grown + y_at, end[1] + more + y_at, equal
+    a, r = runs[0][0] - x.at, runs[0][1] - y.at
+    back_x, back_y, more, used = grown(x.words[:a][::-1].tolist(), y.words[:r][::-1].tolist())
+    equal += more
+    short = used and ((x.at > 0 and a <= r + len(STEPS)) or (y.at > 0 and r <= a + len(STEPS)))
+    on_x, on_y, more, used = grown(x.words[end[0]:].tolist(), y.words[end[1]:].tolist())
+    equal += more
+    left_x, left_y = x.total - x.at - len(x.words), y.total - y.at - len(y.words)
+    rest_x, rest_y = len(x.words) - end[0], len(y.words) - end[1]
+    short = short or (used and ((left_x > 0 and rest_x <= rest_y + len(STEPS)) or (left_y > 0 and rest_y <= rest_x + len(STEPS))))
+    return a - back_x + x.at, end[0] + on_x + x.at, r - back_y + y.at, end[1] + on_y + y.at, equal, short
 
 
 def _word_codes(texts: DataFrame, keys: DataFrame) -> DataFrame:
@@ -259,13 +316,16 @@ def _word_codes(texts: DataFrame, keys: DataFrame) -> DataFrame:
     return made.join(keys, "of").dropDuplicates(["of"])
 
 
-def _passages(chained: DataFrame, words: DataFrame, min_words: int, identity: float) -> DataFrame:
-    """Chains (stored) as aligned passages: key, ref, and begin and length in words in both texts."""
+def _passages(chained: DataFrame, words: DataFrame, min_words: int, identity: float, flank: int) -> DataFrame:
+    """Chains (stored) as aligned passages: key, ref, and begin and length in words in both texts.
+
+    `chain_a` and `chain_b` are the chain's begin; `short` tells that `flank` words were too few for it.
+    """
 
     def cut(side: str, name: str) -> list:
-        begin = F.greatest(F.lit(0), F.col(side) - FLANK)
-        return [begin.alias(f"{name}_at"),
-                F.expr(f"substring(words, 4 * greatest(0, {side} - {FLANK}) + 1, 4 * ({side}_end + {FLANK} - greatest(0, {side} - {FLANK})))").alias(name)]
+        begin = f"greatest(0L, {side} - {flank}L)"
+        return [F.expr(begin).alias(f"{name}_at"), F.expr("octet_length(words) div 4").alias(f"{name}_total"),
+                F.expr(f"substring(words, int(4 * {begin} + 1), int(least(2147483647L, 4 * ({side}_end + {flank}L - {begin}))))").alias(name)]
 
     def run(batches: Iterator) -> Iterator:
         for batch in batches:
@@ -273,21 +333,21 @@ def _passages(chained: DataFrame, words: DataFrame, min_words: int, identity: fl
             for row in batch.to_pylist():
                 flat = row["runs"]
                 runs = [tuple(flat[i:i + 3]) for i in range(0, len(flat), 3)]
-                x, y = np.frombuffer(row["x"], "<u4"), np.frombuffer(row["y"], "<u4")
-                a, a_end, b, b_end, equal = aligned(runs, x, y, row["x_at"], row["y_at"])
+                x, y = (Side(np.frombuffer(row[n], "<u4"), row[f"{n}_at"], row[f"{n}_total"]) for n in ("x", "y"))
+                a, a_end, b, b_end, equal, short = aligned(runs, x, y)
                 longest = max(a_end - a, b_end - b)
-                if a_end - a >= min_words and equal >= identity * longest:
-                    rows.append((row["key"], row["ref"], a, a_end - a, b, b_end - b, equal / longest))
-            columns = list(zip(*rows)) if rows else [[]] * 7
-            kinds = [pa.int64(), pa.int64(), *[pa.int32()] * 4, pa.float64()]
+                if short or (a_end - a >= min_words and equal >= identity * longest):
+                    rows.append((row["key"], row["ref"], *runs[0][:2], a, a_end - a, b, b_end - b, equal / longest, short))
+            columns = list(zip(*rows)) if rows else [[]] * 10
+            kinds = [pa.int64(), pa.int64(), *[pa.int32()] * 6, pa.float64(), pa.bool_()]
             yield pa.RecordBatch.from_arrays([pa.array(list(c), k) for c, k in zip(columns, kinds)], [
-                "key", "ref", "start_word", "n_words", "ref_start_word", "ref_n_words", "identity"])
+                "key", "ref", "chain_a", "chain_b", "start_word", "n_words", "ref_start_word", "ref_n_words", "identity", "short"])
 
     kept = ["key", "ref", "runs"]
     left = chained.join(words, chained["key"] == words["of"]).select(*kept, "b", "b_end", *cut("a", "x"))
-    both = left.join(words, left["ref"] == words["of"]).select(*kept, "x_at", "x", *cut("b", "y"))
-    return both.mapInArrow(run, """key bigint, ref bigint, start_word int, n_words int, ref_start_word int,
-        ref_n_words int, identity double""")
+    both = left.join(words, left["ref"] == words["of"]).select(*kept, "x_at", "x_total", "x", *cut("b", "y"))
+    return both.mapInArrow(run, """key bigint, ref bigint, chain_a int, chain_b int, start_word int, n_words int,
+        ref_start_word int, ref_n_words int, identity double, short boolean""")
 
 
 def repeated_passages(documents: DataFrame, doc_id: str = "doc_id", text: str = "text", min_words: int = MIN_WORDS,
@@ -308,11 +368,20 @@ def repeated_passages(documents: DataFrame, doc_id: str = "doc_id", text: str =
     setting = "spark.sql.execution.arrow.maxRecordsPerBatch"
     before = spark.conf.get(setting)
     try:
-        chained = scratch.store(_chained(matches), "chained").where(F.col("a_end") - F.col("a") >= 2 * SEED)
+        chained = scratch.store(_chained(matches), "chained")
         keys = scratch.store(chained.select(F.col("key").alias("of")).union(chained.select("ref")).distinct(), "keys")
         codes = scratch.store(_word_codes(texts, keys), "codes")
         spark.conf.set(setting, PASSAGE_BATCH)
-        found = scratch.store(_passages(chained, codes, min_words, identity), "found")
+        flank, left, rounds = FLANK, chained, []
+        while True:
+            made = scratch.store(_passages(left, codes, min_words, identity, flank), "found")
+            rounds.append(made.where("not short").drop("chain_a", "chain_b", "short"))
+            if made.where("short").isEmpty():
+                break
+            again = made.where("short").select(*[F.col(c).alias(f"_{c}") for c in ("key", "ref", "chain_a", "chain_b")])
+            left = chained.join(again, F.expr("key = _key and ref = _ref and a = _chain_a and b = _chain_b"), "left_semi")
+            flank *= WIDER
+        found = reduce(DataFrame.unionByName, rounds)
     finally:
         spark.conf.set(setting, before)
     refs = first.select(F.col("key").alias("ref"), F.col("first_id").alias("ref_doc_id"))

@@ -250,3 +250,66 @@ def test_encoder_equals_the_tokenizer():
     for _ in range(4000):
         text = "".join(rng.choice(bits) for _ in range(rng.randrange(14)))
         assert encode([text])[0] == np.array(tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes(), repr(text)
+
+
+def edited(words, rng, kind):
+    """A copy of a passage: exact, with a share of other words, or with words dropped and inserted."""
+    out = []
+    for i, w in enumerate(words):
+        if kind == "indel" and i % 15 == 7:
+            continue
+        out.append(f"z{rng.randrange(10 ** 6)}" if isinstance(kind, float) and rng.random() < kind else w)
+        if kind == "indel" and i % 15 == 14:
+            out.append(f"z{rng.randrange(10 ** 6)}")
+    return out
+
+
+def test_recall_of_fuzzy_passages(spark):
+    """Passages of 60 and 300 words, copied by several kinds of edits into other texts; clean texts stay out."""
+    rng, rows, want = random.Random(11), [], {}
+    common = [f"c{i}" for i in range(300)]
+    words = lambda n: [rng.choice(common) if rng.random() < 0.5 else f"w{rng.randrange(20000)}" for _ in range(n)]
+    for kind in ("exact", 0.05, 0.15, "indel"):
+        for length in (60, 300):
+            want[kind, length] = set()
+            for _ in range(40):
+                passage, at = words(length), len(rows)
+                rows.append((at, " ".join(words(rng.randrange(200)) + passage + words(rng.randrange(200)))))
+                rows.append((at + 1, " ".join(words(rng.randrange(200)) + edited(passage, rng, kind) + words(rng.randrange(200)))))
+                want[kind, length].add((at, at + 1))
+    clean = range(len(rows), len(rows) + 300)
+    rows += [(i, " ".join(words(200))) for i in clean]
+    got = substring.repeated_passages(spark.createDataFrame(rows, "doc_id long, text string").repartition(5)).collect()
+    found = {tuple(sorted((r["doc_id"], r["ref_doc_id"]))): r for r in got}
+    share = {k: sum(p in found for p in pairs) / len(pairs) for k, pairs in want.items()}
+    assert set(found) <= set().union(*want.values())
+    assert all(v == 1 for (kind, n), v in share.items() if kind == "exact" or n == 300), share
+    assert share[0.05, 60] >= 0.9 and share["indel", 60] >= 0.8 and share[0.15, 60] >= 0.5, share  # few seeds are left
+    for pair in want["exact", 300]:
+        assert found[pair]["n_words"] >= 300 and found[pair]["identity"] > 0.9
+
+
+def test_ends_of_any_length(spark, monkeypatch):
+    """Chains cut out of one seed grow over the whole passage, whatever the words seen at first."""
+    monkeypatch.setattr(substring, "FLANK", 4)
+    monkeypatch.setattr(substring, "WIDER", 2)
+    rng = random.Random(2)
+    passage = [f"p{i}" for i in range(400)]
+    rows = [(i, " ".join([f"x{i}{rng.randrange(10 ** 6)}" for _ in range(50)] + passage + [f"y{i}{rng.randrange(10 ** 6)}" for _ in range(50)])) for i in range(3)]
+    got = substring.repeated_passages(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert {(r["start_word"], r["n_words"], r["ref_start_word"], r["ref_n_words"], r["identity"]) for r in got} == {(50, 400, 50, 400, 1.0)}
+    assert len(got) == 2
+
+
+def test_stretches_against_a_table():
+    rng = random.Random(5)
+    for _ in range(500):
+        x, y = ([rng.randrange(4) for _ in range(rng.randrange(12))] for _ in range(2))
+        row = [0] * (len(y) + 1)
+        for a in x:
+            before = 0
+            for j, b in enumerate(y, 1):
+                before, row[j] = row[j], before + 1 if a == b else max(row[j], row[j - 1])
+        assert substring.equal_between(x, y) == row[-1]
+        i, j, equal, _ = substring.grown(x, y)
+        assert equal <= substring.equal_between(x[:i], y[:j]) and i <= len(x) and j <= len(y)
