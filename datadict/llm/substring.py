@@ -170,19 +170,16 @@ def runs_of(chain: list[tuple[int, int]]) -> list[tuple[int, int, int]]:
 
 
 def _chained(matches: DataFrame) -> DataFrame:
-    """One row per chain: key, ref, its extent in both texts, and its runs as flat numbers."""
+    """One row per pair of texts: key, ref, the extent of all chains in both, and each chain's runs as flat numbers, the best first."""
 
     def run(batches: Iterator) -> Iterator:
-        def written(key: int, ref: int, group: list) -> list[tuple]:
-            rows = []
-            for chain in chains(group):
-                runs = runs_of(chain)
-                (a, r, _), (z, s, n) = runs[0], runs[-1]
-                rows.append((key, ref, a, z + n, r, s + n, [v for x in runs for v in x]))
-            return rows
+        def written(key: int, ref: int, group: list) -> tuple:
+            found = [runs_of(chain) for chain in chains(group)]
+            return (key, ref, min(c[0][0] for c in found), max(c[-1][0] + c[-1][2] for c in found), min(c[0][1] for c in found),
+                    max(c[-1][1] + c[-1][2] for c in found), [[v for run in c for v in run] for c in found])
 
         names = ["key", "ref", "a", "a_end", "b", "b_end", "runs"]
-        kinds = [pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.int32(), pa.list_(pa.int32())]
+        kinds = [pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.int32(), pa.list_(pa.list_(pa.int32()))]
 
         def batch_of(rows: list[tuple]) -> pa.RecordBatch:
             columns = zip(*rows) if rows else [[]] * len(names)
@@ -193,16 +190,16 @@ def _chained(matches: DataFrame) -> DataFrame:
             for key, ref, at, ref_at in zip(*(batch.column(c).to_pylist() for c in ("key", "ref", "at", "ref_at"))):
                 if pair != (key, ref):
                     if group:
-                        rows += written(*pair, group)
+                        rows.append(written(*pair, group))
                     pair, group = (key, ref), []
                 group.append((at, ref_at))
             yield batch_of(rows)
             rows = []
         if group:
-            yield batch_of(written(*pair, group))
+            yield batch_of([written(*pair, group)])
 
     dealt = matches.repartition("key", "ref").sortWithinPartitions("key", "ref")
-    return dealt.mapInArrow(run, "key bigint, ref bigint, a int, a_end int, b int, b_end int, runs array<int>")
+    return dealt.mapInArrow(run, "key bigint, ref bigint, a int, a_end int, b int, b_end int, runs array<array<int>>")
 
 
 # Words skipped in either text before two agree again, the cheapest first.
@@ -319,7 +316,8 @@ def _word_codes(texts: DataFrame, keys: DataFrame) -> DataFrame:
 def _passages(chained: DataFrame, words: DataFrame, min_words: int, identity: float, flank: int) -> DataFrame:
     """Chains (stored) as aligned passages: key, ref, and begin and length in words in both texts.
 
-    `chain_a` and `chain_b` are the chain's begin; `short` tells that `flank` words were too few for it.
+    The best chain of a pair is aligned first, and chains that lie inside a passage of the pair are part of
+    it. `short` is one row for a pair for which `flank` words were too few.
     """
 
     def cut(side: str, name: str) -> list:
@@ -331,22 +329,31 @@ def _passages(chained: DataFrame, words: DataFrame, min_words: int, identity: fl
         for batch in batches:
             rows = []
             for row in batch.to_pylist():
-                flat = row["runs"]
-                runs = [tuple(flat[i:i + 3]) for i in range(0, len(flat), 3)]
                 x, y = (Side(np.frombuffer(row[n], "<u4"), row[f"{n}_at"], row[f"{n}_total"]) for n in ("x", "y"))
-                a, a_end, b, b_end, equal, short = aligned(runs, x, y)
-                longest = max(a_end - a, b_end - b)
-                if short or (a_end - a >= min_words and equal >= identity * longest):
-                    rows.append((row["key"], row["ref"], *runs[0][:2], a, a_end - a, b, b_end - b, equal / longest, short))
-            columns = list(zip(*rows)) if rows else [[]] * 10
-            kinds = [pa.int64(), pa.int64(), *[pa.int32()] * 6, pa.float64(), pa.bool_()]
+                spans, kept = [], []
+                for flat in row["runs"]:
+                    runs = [tuple(flat[i:i + 3]) for i in range(0, len(flat), 3)]
+                    (first, ref_first, _), (last, ref_last, n) = runs[0], runs[-1]
+                    if any(a <= first and last + n <= z and b <= ref_first and ref_last + n <= w for a, z, b, w in spans):
+                        continue
+                    a, a_end, b, b_end, equal, short = aligned(runs, x, y)
+                    if short:
+                        kept = [(row["key"], row["ref"], 0, 0, 0, 0, 0.0, True)]
+                        break
+                    longest = max(a_end - a, b_end - b)
+                    if a_end - a >= min_words and equal >= identity * longest:
+                        spans.append((a, a_end, b, b_end))
+                        kept.append((row["key"], row["ref"], a, a_end - a, b, b_end - b, equal / longest, False))
+                rows += kept
+            columns = list(zip(*rows)) if rows else [[]] * 8
+            kinds = [pa.int64(), pa.int64(), *[pa.int32()] * 4, pa.float64(), pa.bool_()]
             yield pa.RecordBatch.from_arrays([pa.array(list(c), k) for c, k in zip(columns, kinds)], [
-                "key", "ref", "chain_a", "chain_b", "start_word", "n_words", "ref_start_word", "ref_n_words", "identity", "short"])
+                "key", "ref", "start_word", "n_words", "ref_start_word", "ref_n_words", "identity", "short"])
 
     kept = ["key", "ref", "runs"]
     left = chained.join(words, chained["key"] == words["of"]).select(*kept, "b", "b_end", *cut("a", "x"))
     both = left.join(words, left["ref"] == words["of"]).select(*kept, "x_at", "x_total", "x", *cut("b", "y"))
-    return both.mapInArrow(run, """key bigint, ref bigint, chain_a int, chain_b int, start_word int, n_words int,
+    return both.mapInArrow(run, """key bigint, ref bigint, start_word int, n_words int,
         ref_start_word int, ref_n_words int, identity double, short boolean""")
 
 
@@ -375,11 +382,10 @@ def repeated_passages(documents: DataFrame, doc_id: str = "doc_id", text: str =
         flank, left, rounds = FLANK, chained, []
         while True:
             made = scratch.store(_passages(left, codes, min_words, identity, flank), "found")
-            rounds.append(made.where("not short").drop("chain_a", "chain_b", "short"))
+            rounds.append(made.where("not short").drop("short"))
             if made.where("short").isEmpty():
                 break
-            again = made.where("short").select(*[F.col(c).alias(f"_{c}") for c in ("key", "ref", "chain_a", "chain_b")])
-            left = chained.join(again, F.expr("key = _key and ref = _ref and a = _chain_a and b = _chain_b"), "left_semi")
+            left = chained.join(made.where("short").select("key", "ref"), ["key", "ref"], "left_semi")
             flank *= WIDER
         found = reduce(DataFrame.unionByName, rounds)
     finally:
