@@ -213,6 +213,7 @@ def grown(x: list[int], y: list[int]) -> tuple[int, int, int, bool]:
     """
     i = j = total = equal = 0
     best = (0, 0, 0, 0)
+    last_x, last_y = len(x) - 1, len(y) - 1
     while i < len(x) and j < len(y):
         if x[i] == y[j]:
             i, j, total, equal = i + 1, j + 1, total + 1, equal + 1
@@ -220,7 +221,8 @@ def grown(x: list[int], y: list[int]) -> tuple[int, int, int, bool]:
                 best = (total, i, j, equal)
             continue
         for dx, dy in STEPS:
-            if len(next_x := x[i + dx:i + dx + 2]) == 2 and next_x == y[j + dy:j + dy + 2]:
+            p, q = i + dx, j + dy
+            if p < last_x and q < last_y and x[p] == y[q] and x[p + 1] == y[q + 1]:
                 break
         else:
             dx = dy = 1
