@@ -49,21 +49,42 @@ PASSAGE_BATCH = 512
 
 
 def _least(values: np.ndarray, size: int) -> np.ndarray:
-    """Per window of `size` values the position of the smallest, the last of equal ones; one window if they are fewer."""
-    if len(values) <= size:
-        return np.array([len(values) - 1 - int(np.argmin(values[::-1]))])
-    view = np.lib.stride_tricks.sliding_window_view(values, size)
-    return np.arange(len(view)) + size - 1 - np.argmin(view[:, ::-1], axis=1)
+    """Per window of `size` values the position of the smallest, the last of equal ones, by windows of doubled size."""
+    at, width = np.arange(len(values)), 1
+    while width < size:
+        step = min(width, size - width)
+        left, right = at[:-step], at[step:]
+        at = np.where(values[right] <= values[left], right, left)
+        width += step
+    return at
 
 
-def paired_seeds(grams: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Seeds of a text and their positions, from the hashes of all its runs of `GRAM` words."""
-    if len(grams) <= GRAM:
-        return np.zeros(0, np.uint64), np.zeros(0, np.int64)
-    at = np.unique(_least(grams[:-GRAM], NEAR))
-    padded = np.concatenate([grams[GRAM:], np.full(REACH - 1, np.iinfo(np.uint64).max)])
-    second = np.lib.stride_tricks.sliding_window_view(padded, REACH)[at].min(axis=1)
-    return mix64(mix64(grams[at]) + second), at
+def paired_seeds(grams: np.ndarray, begins: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Seeds, the number of their text and their position there, from the hashes of the texts' runs of `GRAM` words.
+
+    The runs of a text are `grams[begin:end]`. All texts are laid out in one array with largest values after each,
+    so that no window sees the next text.
+    """
+    kept = np.flatnonzero(ends - begins > GRAM)
+    if not len(kept):
+        return np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64)
+    sizes, pad, largest = (ends - begins)[kept], max(NEAR, REACH), np.iinfo(np.uint64).max
+    place = np.cumsum(sizes + pad) - sizes - pad
+
+    def spread(first: np.ndarray, counts: np.ndarray) -> np.ndarray:
+        return np.arange(counts.sum()) + np.repeat(first - np.cumsum(counts) + counts, counts)
+
+    laid = np.full(int((sizes + pad).sum()), largest, np.uint64)
+    laid[spread(place, sizes)] = grams[spread(begins[kept], sizes)]
+    firsts = laid.copy()  # the last runs of a text have none after them
+    for k in range(1, GRAM + 1):
+        firsts[place + sizes - k] = largest
+    seen = np.maximum(sizes - GRAM - NEAR + 1, 1)
+    at = np.minimum(_least(firsts, NEAR)[spread(place, seen)], np.repeat(place + sizes - GRAM - 1, seen))
+    at = at[np.r_[True, at[1:] != at[:-1]]]
+    second = laid[_least(laid, REACH)[at + GRAM]]
+    text = np.searchsorted(place, at, side="right") - 1
+    return mix64(mix64(laid[at]) + second), kept[text], at - place[text]
 
 
 def _seeds(texts: DataFrame) -> DataFrame:
@@ -82,17 +103,9 @@ def _seeds(texts: DataFrame) -> DataFrame:
             for first, data, offsets in text_slices(batch.column(1)):
                 words = words_of(data, offsets, True)
                 grams = windows(words.hash, GRAM)
-                seed, key, at = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
-                for i in range(len(offsets) - 1):
-                    a, b = words.bounds[i], words.bounds[i + 1] - GRAM + 1
-                    if b > a:
-                        made, found = paired_seeds(grams[a:b])
-                        seed.append(made)
-                        key.append(np.full(len(found), keys[first + i]))
-                        at.append(found)
+                seed, text, at = paired_seeds(grams, words.bounds[:-1], words.bounds[1:] - GRAM + 1)
                 yield pa.RecordBatch.from_arrays([
-                    pa.array(np.concatenate(seed).view(np.int64)), pa.array(np.concatenate(key)),
-                    pa.array(np.concatenate(at).astype(np.int32))], ["seed", "key", "at"])
+                    pa.array(seed.view(np.int64)), pa.array(keys[first + text]), pa.array(at.astype(np.int32))], ["seed", "key", "at"])
 
     return texts.select("key", "text").mapInArrow(run, "seed bigint, key bigint, at int")
 

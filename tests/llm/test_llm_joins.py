@@ -110,6 +110,27 @@ def test_passages_cover_shared_runs(spark):
     assert not unique & set(spans)
 
 
+def test_seeds_against_their_definition():
+    """Texts side by side in one array have the seeds that each has alone; equal hashes take the last."""
+    rng = np.random.default_rng(7)
+    for values in (4, 60, 1 << 40) * 10:
+        ends = np.cumsum(rng.integers(0, 45, 30))
+        begins = np.r_[0, ends[:-1]]
+        ends = ends - rng.integers(0, 4, 30)  # what lies between two texts belongs to none
+        grams = rng.integers(0, values, 2000).astype(np.uint64)
+        wanted = []
+        for i, (a, b) in enumerate(zip(begins.tolist(), ends.tolist())):
+            text = grams[a:b].tolist() if b > a else []
+            last, found = len(text) - substring.GRAM, set()
+            for w in range(max(last - substring.NEAR + 1, 1) if last > 0 else 0):
+                found.add(max(range(w, min(w + substring.NEAR, last)), key=lambda p: (-text[p], p)))
+            for p in sorted(found):
+                second = min(text[p + substring.GRAM:p + substring.GRAM + substring.REACH])
+                wanted.append((int(words_module.mix64(words_module.mix64(np.array([text[p]], np.uint64)) + np.uint64(second))[0]), i, p))
+        got = [x.tolist() for x in substring.paired_seeds(grams, begins, ends)]
+        assert list(zip(*got)) == wanted
+
+
 def test_passage_edges(spark):
     schema = "doc_id long, text string, `ref` string, `seed` string"
     rows = [(None, "w%d " % 1 * 60, "", ""), (1, None, "", ""), (2, "", "", ""), (2, "", "", "")]
