@@ -183,11 +183,11 @@ def license_scan(files: DataFrame, templates: dict[str, str] = TEMPLATES, limit:
 def with_paths(documents: DataFrame) -> DataFrame:
     """Documents as files of repositories: a source is a root with a folder per language, and shelves of 64 ids.
 
-    Short texts that speak of a licence are licence files: of the root, the language or the shelf.
+    Texts that speak of a licence, of any length, are licence files: of the root, the language or the shelf.
     """
     shelf = F.concat_ws("/", F.coalesce("source", F.lit("unknown")), F.coalesce("lang", F.lit("unknown")),
                         F.floor(F.coalesce("doc_id", F.lit(0)) / 64).cast("string"))
-    notice = (F.char_length("text") < 300) & F.lower("text").contains("licens")
+    notice = F.lower("text").contains("licens")
     level = F.pmod(F.coalesce("doc_id", F.lit(0)), F.lit(3)).cast("int") + 1
     name = F.coalesce(F.col("doc_id").cast("string"), F.lit("null"))
     path = F.when(notice, F.concat(F.array_join(F.slice(F.split(shelf, "/"), F.lit(1), level), "/"), F.lit("/LICENSE-"), name)).otherwise(

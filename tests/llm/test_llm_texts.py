@@ -244,6 +244,18 @@ def test_license_scan(spark):
     assert licenses.license_scan(df.limit(0)).count() == 0
 
 
+def test_licence_files_of_any_length(spark):
+    """A long text with a notice is a licence file as a short one is; others of its folder inherit from it."""
+    notice = "Released under the MIT License."
+    rows = [(3, "web", "en", "word " * 5000 + "\n" + notice), (4, "web", "en", "nothing"), (5, None, None, None), (None, "web", "en", "")]
+    df = spark.createDataFrame(rows, "doc_id long, source string, lang string, text string")
+    paths = {r["doc_id"]: r["path"] for r in licenses.with_paths(df).collect()}
+    assert paths == {3: "web/LICENSE-3", 4: "web/en/0/4.txt", 5: "unknown/unknown/0/5.txt", None: "web/en/0/null.txt"}
+    got = {r["doc_id"]: (r["license"], r["scope"], r["from_path"]) for r in licenses.license_scan(licenses.with_paths(df)).collect()}
+    assert got == {3: ("MIT", "own", None), 4: ("MIT", "inherited", "web/LICENSE-3"), 5: (None, "none", None),
+                   None: ("MIT", "inherited", "web/LICENSE-3")}
+
+
 def test_cosine_against_all_terms():
     """The lines that are passed by could not have reached the limit."""
     texts = [t for _, _, t in FILES if t] + list(licenses.TEMPLATES.values()) + ["version 2", "the work is under license", "released to the public"]
