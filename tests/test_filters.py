@@ -128,3 +128,20 @@ def test_dialect_names():
     assert normalise_dialect("MySQL") == "mysql"
     with pytest.raises(ValueError):
         normalise_dialect("oracle")
+
+
+def test_pattern_table_gathers_nothing_on_the_driver(spark, tmp_path):
+    """Exploded names look as small as their file to Spark, which would broadcast them."""
+    rows, likes = [(i, f"t_{i}", "mysql") for i in range(200)], [f"t\\_{i}%" for i in range(0, 200, 7)]
+    frame(spark, rows).write.parquet(f"{tmp_path}/names")
+    spark.createDataFrame([(p,) for p in likes], "pattern string").write.parquet(f"{tmp_path}/patterns")
+    got = filters.exclude_by_pattern_table(*(spark.read.parquet(f"{tmp_path}/{n}") for n in ("names", "patterns")), ["oid"])
+    assert "Broadcast" not in got._jdf.queryExecution().executedPlan().toString()
+    assert {r["oid"] for r in got.collect()} == kept(rows, likes)
+
+
+def test_long_literals_ask_for_long_grams(spark):
+    """Names that end in numbers share all short grams, so the rows that meet would grow with names times patterns."""
+    patterns = spark.createDataFrame([("t\\_1234567%",), ("%12345%",)], "pattern string")
+    grams = filters._asked(patterns)[0].groupBy("pattern").agg(F.min(F.length("gram")).alias("n")).collect()
+    assert {r["pattern"]: r["n"] for r in grams} == {"t\\_1234567%": 8, "%12345%": 5}
