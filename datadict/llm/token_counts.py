@@ -15,6 +15,7 @@ empty one; special tokens' strings are ordinary text.
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
@@ -32,8 +33,12 @@ CACHED = 300_000
 Counted = tuple[list[int], list[int]]
 
 
+@functools.lru_cache(maxsize=1)
 def pre_token_counter(path: str | None = None) -> tuple[Callable[[str, int], Iterator[str]], Callable[[str], int]]:
-    """Functions that give the pre-tokens of a text from a position on, and the tokens of a pre-token."""
+    """Functions that give the pre-tokens of a text from a position on, and the tokens of a pre-token.
+
+    Made once in a worker process: it outlives its tasks, and keeps the encoder of each until its garbage is collected.
+    """
     import base64
 
     import public_tokenizers

@@ -192,6 +192,10 @@ def test_likeness_follows_edits():
     assert np.array_equal(fingerprints.bins_of(pa.array([None, ""])), np.zeros((2, 64)))
 
 
+def test_one_token_counter_for_all_tasks_of_a_process():
+    assert token_counts.pre_token_counter() is token_counts.pre_token_counter()
+
+
 # --- token counts -------------------------------------------------------------------------------
 
 def test_edits_count_as_a_new_count():
