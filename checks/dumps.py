@@ -16,7 +16,7 @@ from checks import check, sql
 from datadict.plans import dictionary as dic
 from datadict.sources import dumps
 from datadict.sources.fixtures import Catalog
-from datadict.storage import place
+from datadict.storage import place, store
 
 FORMATS = {"postgres": {"src0": "parquet", "src1": "json"}, "mysql": {"src2": "csv", "src3": "parquet"}}
 # Columns that a server's dump does not have.
@@ -43,8 +43,8 @@ class Dump:
         self.relations = dumps.Relations(**{n: lambda n=n: self._read(n) for n in names})
 
     def write(self, name: str) -> None:
-        """One directory per server and relation."""
-        df = getattr(self, f"{self.dialect}_{name}")()
+        """One directory per server and relation. The relation is built once and stored, then dealt to the servers."""
+        df = store(getattr(self, f"{self.dialect}_{name}")(), f"{self.dialect}-{name}")
         for source, fmt in self.formats.items():
             own = df.where(F.col("source_id") == source).drop("source_id", *ABSENT.get((source, name), ()))
             own = own.select(*reversed(own.columns))

@@ -196,3 +196,16 @@ def test_json_names_in_any_case(spark, tmp_path):
     run = dumps.DumpRun("mysql", {"s": str(tmp_path)}, "json")
     assert sorted((tuple(r) for r in dumps.read_relation(spark, run, "schemata").collect()), key=str) == [
         ("s", "x"), ("s", "y"), ("s", None)]
+
+
+def test_a_dump_builds_each_relation_once(spark, sf_dir, monkeypatch):
+    from checks import dumps as dumped
+    from datadict.sources.fixtures import Catalog
+
+    kept = []
+    monkeypatch.setattr(dumped, "store", lambda df, name, own=dumped.store: kept.append(name) or own(df, name))
+    dump = dumped.Dump(Catalog(spark, sf_dir), "mysql")
+    dump.write("tables")
+    assert kept == ["mysql-tables"]
+    assert set(dump.formats) == {"src2", "src3"} and all(spark.read.format(f).load(f"{dump.run.roots[s]}/tables").count()
+                                                        for s, f in dump.formats.items())
