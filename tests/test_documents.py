@@ -305,3 +305,20 @@ def test_script_bytes_equal_the_scripts(spark):
                                   "source_id string, schema_name string, table_name string, ddl_text string")
     got = {r["table_name"]: r["ddl_bytes"] for r in dic.ddl_sizes(made, whole).collect()}
     assert got == {"t": len("CREATE é (\n\n);".encode()), "u": 0, "v": 3, "w": 0}
+
+
+def test_read_documents_sorts_no_line(spark, tmp_path):
+    """A line's position comes from the sizes of the blocks before its own."""
+    want = [("s", f"d{i % 2}", 0, "", 0, i, "", 0, f"line {i}") for i in range(300)]
+    df = spark.createDataFrame(want, "source_id string, schema_name string, section int, table_name string, block int, item bigint,"
+                                     " item_name string, line_no int, line string")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        sinks.write_documents(df, f"{tmp_path}/docs")
+    finally:
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "true")
+    read = sinks.read_documents(spark, f"{tmp_path}/docs")
+    assert "rangepartitioning" not in read._jdf.queryExecution().executedPlan().toString() and "Sort" not in \
+        read._jdf.queryExecution().executedPlan().toString()
+    got = {(r["schema_name"], r["position"]): r["line"] for r in read.collect()}
+    assert got == {(f"d{i % 2}", i // 2 + 1): f"line {i}" for i in range(300)}
