@@ -78,3 +78,29 @@ def test_lists_of_slices(spark, size):
                                "g string, at int, v string").repartition(4)
     got = {r["g"]: [tuple(m) for m in r["m"]] for r in ordered.ordered_lists(df, ["g"], "at", ["v"], "m", size).collect()}
     assert got == {"a": [(p, f"v{p % 4}") for p in range(1, 12)], "b": [(1, "v1")]}
+
+
+@pytest.mark.parametrize("hot", [1, 5, 1 << 40])
+def test_number_rows_cuts_only_hot_groups(spark, rows, hot):
+    df = spark.createDataFrame([*rows, (None, 1, "no group", 0)], SCHEMA)
+    got = ordered.number_rows(df, ["g"], ["pos", "name"], F.floor(F.col("pos") / 3), hot=hot).collect()
+    want = {r: i for rs in expected(rows, lambda r: (r[1], r[2])).values() for i, r in enumerate(rs, 1)}
+    assert {(r["g"], r["pos"], r["name"], r["w"]): r["rn"] for r in got} == want
+
+
+def test_number_rows_shuffles_rows_once(spark, tmp_path):
+    """Slice sizes of hot groups are few: the numbered rows meet them by a broadcast."""
+    spark.range(1000).selectExpr("id % 7 as g", "id as pos", "cast(id as string) as name").write.parquet(f"{tmp_path}/rows")
+    got = ordered.number_rows(spark.read.parquet(f"{tmp_path}/rows"), ["g"], ["pos"], F.col("pos"), hot=10)
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        plan = got._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert "SortMergeJoin" not in plan and got.count() == 1000
+
+
+def test_arranged_rows_are_stored_by_column(spark):
+    """Numbering reads only the group and the row of what it counts, so rows are files, not a checkpoint of whole rows."""
+    plan = ordered.arrange(spark.range(50).selectExpr("id % 3 as g", "id as name"), ["g"], ["name"])._jdf.queryExecution().executedPlan().toString()
+    assert "FileScan parquet" in plan
