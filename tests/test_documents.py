@@ -322,3 +322,15 @@ def test_read_documents_sorts_no_line(spark, tmp_path):
         read._jdf.queryExecution().executedPlan().toString()
     got = {(r["schema_name"], r["position"]): r["line"] for r in read.collect()}
     assert got == {(f"d{i % 2}", i // 2 + 1): f"line {i}" for i in range(300)}
+
+
+def test_markdown_builds_children_once(spark, monkeypatch):
+    """Their rows and the titles of their tables are read from one build."""
+    kept = []
+    monkeypatch.setattr(doc, "store", lambda df, name, own=doc.store: kept.append(name) or own(df, name))
+    from checks.catalog import fleet
+    from datadict.sources.fixtures import Catalog
+
+    made = doc.markdown_lines(fleet(Catalog(spark, "/root/testdata/sf0.001")))
+    assert sorted(kept) == ["foreign-keys", "indexes"]
+    assert "foreign-keys-" in "".join(made.inputFiles()) and "indexes-" in "".join(made.inputFiles())
