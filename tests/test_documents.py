@@ -334,3 +334,33 @@ def test_markdown_builds_children_once(spark, monkeypatch):
     made = doc.markdown_lines(fleet(Catalog(spark, "/root/testdata/sf0.001")))
     assert sorted(kept) == ["foreign-keys", "indexes"]
     assert "foreign-keys-" in "".join(made.inputFiles()) and "indexes-" in "".join(made.inputFiles())
+
+
+def test_entries_are_built_once(spark):
+    """The parts of a script read stored entries and marked tables: they neither join the inputs nor aggregate them again."""
+    lines, failed = ddl(spark, tables=[USERS, ("e", "public", "other")],
+                        columns=[(*USERS, 1, "a;b", "text", "YES", None, None),
+                                 ("e", "public", "other", 1, "a", "text", "YES", None, None)])
+    for part in (lines, failed):
+        plan = part._jdf.queryExecution().optimizedPlan().toString()
+        assert "Aggregate" not in plan
+    assert "Join" not in failed._jdf.queryExecution().optimizedPlan().toString()
+    assert sorted(r["line"] for r in lines.collect()) == sorted(['CREATE TABLE "public"."other" (', '    "a" text', ");"])
+    assert [(r["table_name"], r["reason"]) for r in failed.collect()] == [("users", doc.IN_ENTRY)]
+
+
+def test_positions_build_each_line_once(spark):
+    """Range bounds are sampled from stored lines, so what makes a line runs once."""
+    made = spark.sparkContext.accumulator(0)
+
+    def count(line):
+        made.add(1)
+        return line
+
+    rows = [("e", "s", doc.TABLES, f"t{i % 7}", 1, i, "", 0, f"line {i}") for i in range(500)]
+    lines = spark.createDataFrame(rows, "source_id string, schema_name string, section int, table_name string, block int,"
+                                        " item bigint, item_name string, line_no int, line string").repartition(3)
+    placed = doc.positions(lines.withColumn("line", F.udf(count, "string").asNondeterministic()("line")))
+    want = [r[8] for r in sorted(rows, key=lambda r: (r[3], r[5]))]
+    assert [r["line"] for r in placed.orderBy("position").collect()] == want
+    assert made.value == len(rows)

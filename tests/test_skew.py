@@ -72,3 +72,13 @@ def test_key_ranks_are_reduced_before_the_join(spark):
     assert [tuple(r) for r in keys.collect()] == [(1, "a", "UNI")]
     plan = keys._jdf.queryExecution().executedPlan().toString()
     assert "partial_max" in plan
+
+
+def test_stored_columns_are_those_of_the_dialect(spark, sf_dir):
+    """A build of one dialect stores, and so numbers, no columns of the other."""
+    whole = fixtures.Catalog(spark, sf_dir).view("cat_columns")
+    for dialect, rule in (("postgres", fixtures.IS_POSTGRES), ("mysql", f"not ({fixtures.IS_POSTGRES})")):
+        stored = fixtures.Catalog(spark, sf_dir).stored().of_dialect("cat_columns", dialect)
+        kept = spark.read.schema(stored.schema).parquet(*{f.rsplit("/", 1)[0] for f in stored.inputFiles()})
+        assert kept.count() == whole.where(rule).count()
+        assert kept.exceptAll(whole.where(rule)).count() == 0
