@@ -37,6 +37,18 @@ def test_number_rows(spark, rows, span):
     assert {(r["g"], r["pos"], r["name"], r["w"]): r["rn"] for r in got} == want
 
 
+def test_small_groups_are_not_counted_one_by_one(spark):
+    """Only groups in a bucket of more than `hot` rows are counted; small ones never reach a shuffle on the group."""
+    df = spark.createDataFrame([(i % 40, i) for i in range(400)] + [(99, i) for i in range(60)], "g bigint, pos bigint")
+    assert [r["g"] for r in ordered._hot_groups(df, ["g"], 50).collect()] == [99]
+    assert ordered._hot_groups(df, ["g"], 60).count() == 0
+    got = ordered.number_rows(df, ["g"], ["pos"], F.floor(F.col("pos") / 7), hot=50).collect()
+    assert {(r["g"], r["pos"]): r["rn"] for r in got} == {
+        **{(i % 40, i): i // 40 + 1 for i in range(400)}, **{(99, i): i + 1 for i in range(60)}}
+    plan = ordered.number_rows(df, ["g"], ["pos"], F.floor(F.col("pos") / 7))._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("_bucket") > 0
+
+
 def test_number_rows_puts_null_positions_first(spark):
     df = spark.createDataFrame([("a", 5), ("a", None), ("a", 1)], "g string, pos int")
     got = ordered.number_rows(df, ["g"], ["pos"], ordered.slice_of(F.col("pos"), 2)).collect()
