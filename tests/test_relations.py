@@ -160,3 +160,12 @@ def test_constraints_without_reference_are_spread(spark):
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
         spark.conf.set("spark.sql.adaptive.enabled", "true")
     assert sorted(map(tuple, shown)) == [("c", None, None, n * 9 // 10), ("f", "s", "t", n // 10)]
+
+
+def test_columns_and_attributes_are_not_broadcast(spark, sf_dir):
+    """Attributes are as many as the columns, so no side is sent whole, however small its file is."""
+    from datadict.sources.fixtures import Catalog
+
+    dump = Catalog(spark, sf_dir).stored().postgres()
+    plan = rel.live_columns(dump["columns"], dump["attributes"])._jdf.queryExecution().sparkPlan().toString()
+    assert "BroadcastHashJoin" not in plan and "SortMergeJoin" in plan
